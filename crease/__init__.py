@@ -1 +1,8 @@
 """crease: a PySpark-native engine for ball-by-ball sports events and player-market data."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions sent to Python workers carry their code, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from crease.operators import drift, nested, packed, units
+from crease.operators import drift, facts, features, nested, packed, units
 
-MODULES = (units, drift, packed, nested)
+MODULES = (units, drift, packed, nested, facts, features)
 
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in getattr(m, "SQL", {}).items()}

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from crease.operators import drift, facts, features, nested, packed, units
+from crease.operators import auction, dimensions, drift, facts, features, leagues, models, nested, packed, relations, units
+from crease.streaming import live
 
-MODULES = (units, drift, packed, nested, facts, features)
+MODULES = (units, drift, packed, nested, facts, features, leagues, dimensions, auction, models, relations, live)
 
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in getattr(m, "SQL", {}).items()}

@@ -140,7 +140,7 @@ def typed_prices(spark: SparkSession, base: str) -> DataFrame:
             F.concat(F.lit("squads "), F.coalesce(F.col("season").cast("string"), F.lit(""))).alias("origin"),
         )
     )
-    return lots.unionByName(squads)
+    return lots.unionByName(squads).where("record_id is not null")
 
 
 FIELD_SCALE = {"squad_state.price_inr_cr": 1e7}

@@ -160,3 +160,22 @@ def p3_cast_failures(spark: SparkSession, base: str) -> DataFrame:
 
 
 QUERIES = {"p3_found": p3_found, "p3_paths": p3_paths, "p3_table": p3_table, "p3_cast_failures": p3_cast_failures}
+
+KNOWN_SQL = ", ".join(f"('{h}', '{a}')" for h, a in HEADER_ATTRIBUTE.items())
+MEMBERS_SQL = """r as (select distinct feed_id, season, row_no, record_json from auction_file_rows),
+ me as (select r.feed_id, r.season, trim(e.key) path, case e.type when 'VARCHAR' then 'string' when 'BOOLEAN' then 'boolean' when 'ARRAY' then 'array' when 'OBJECT' then 'object' when 'NULL' then 'null' else 'number' end json_type from r, json_each(r.record_json) e)"""
+SQL = {
+    "p3_paths": f"with {MEMBERS_SQL} select feed_id, season, path, json_type, count(*) n_values from me group by all",
+    "p3_found": f"""with {MEMBERS_SQL}, kn(h, a) as (values {KNOWN_SQL}),
+        fi as (select feed_id, season, path, coalesce(list_sort(list_distinct(list(json_type) filter (json_type <> 'null'))), []) types from me group by all),
+        fa as (select fi.*, a from fi left join kn on kn.h = trim(regexp_replace(lower(path), '[^a-z0-9]+', ' ', 'g'))),
+        se as (select feed_id, season, lag(season) over (partition by feed_id order by season) b from (select distinct feed_id, season from fa)),
+        nw as (select se.feed_id, se.season, path, types, a from se join fa using (feed_id, season) where b is not null),
+        ol as (select se.feed_id, se.season, path, types, a from se join fa on fa.feed_id = se.feed_id and fa.season = se.b),
+        go as (select *, row_number() over (partition by feed_id, season, a order by path) k from ol where (feed_id, season, path) not in (select (feed_id, season, path) from nw)),
+        co as (select *, row_number() over (partition by feed_id, season, a order by path) k from nw where (feed_id, season, path) not in (select (feed_id, season, path) from ol)),
+        pr as (select coalesce(g.feed_id, c.feed_id) feed_id, coalesce(g.season, c.season) season, g.path f, c.path t, g.types ft, c.types tt from go g full join co c on g.feed_id = c.feed_id and g.season = c.season and g.a = c.a and g.k = c.k
+               union all select feed_id, season, o.path, n.path, o.types, n.types from ol o join nw n using (feed_id, season, path))
+        select feed_id, season, 'added' change_kind, '' field_from, t field_to from pr where f is null union select feed_id, season, 'removed', f, '' from pr where t is null
+        union select feed_id, season, 'renamed', f, t from pr where f <> t union select feed_id, season, 'retyped', f, t from pr where f is not null and t is not null and ft <> tt""",
+}

@@ -64,6 +64,15 @@ ERROR = (
 # Page furniture, which counts neither way.
 FURNITURE = r"(?i)^\W*(?:(?:home|menu|scores?|auction|squads?|login|log in|sign in|matches|players|skip to content|contact|about|search|news|back to top|next|previous|privacy|terms)\b\W*)+$|^\W*$"
 
+# Characters and words one of which every slot, and every telling line of a page or of filler, contains.
+SLOT_SIGNS = r"[{}\[\]<>@#$«%]|__|&lt;|XX-|to be (?:filled|added|confirmed|announced|inserted)|NaN|undefined|null|NoneType|Invalid Date"
+LINE_SIGNS = (
+    "script", "js", "cookie", "browser", "reload the page", "site permissions", "switch it on", "loading", "जावास्क्रिप्ट", "this site", "this page", "this app", "error", "found", "forbidden", "gateway", "unavailable",
+    "unauthorized", "denied", "went wrong", "too many", "session", "maintenance", "refused", "try again", "the fault", "permission", "server", "too long to answer", "पृष्ठ", "उपलब्ध", "फिर कोशिश", "traceback", "file \"", "exception",
+    "warning", "notice", "on line", "temporarily", "unexpected", "oops", "sorry", "gone", "http", "go back", "no longer", "sign in", "conflict", "text", "copy", "content", "goes here", "blah", "asdf", "qwer", "zxcv", "hjkl", "jkl", "test",
+    "aaa", "bbb", "foo", "xx", "paragraph", "your ", "heading", "headline", "byline", "caption", " point", "summary", "quote", "sentence", "नमूना", "शीर्षक", "लिखें", "click",
+)
+
 #: A text is residue when content makes up at most this share of it, or filler at least that.
 CONTENT_SHARE, FILLER_SHARE = 0.25, 0.3
 
@@ -72,7 +81,7 @@ def slot_count(text: Column) -> Column:
     """Number of unfilled slots and machine's empty values, without code blocks and quoted notations."""
     seen = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, CODE, " "), QUOTED_NOTATION, " "), SUBJECT_VALUES, " ")
     grammar = "|".join(f"(?:{x})" for x in SLOTS) + f"|(?:{EMPTY_VALUES})"
-    return F.regexp_count(seen, F.lit(grammar))
+    return F.when(text.rlike(SLOT_SIGNS), F.regexp_count(seen, F.lit(grammar))).otherwise(0)
 
 
 def line_shares(text: Column) -> Column:
@@ -99,15 +108,17 @@ def judge(documents: DataFrame, text: str = "text") -> DataFrame:
     """documents + ``residue``: 'slot', 'filler', 'page' or NULL for content.
 
     NULL and blank texts are no residue (there is nothing in them to exclude by this rule). Whole texts are read.
-    The line shares are computed only for texts that hold a word of the filler or page grammars at all, found by
-    one regular expression, which spares the bulk of the corpus the sentence split.
+    Ever dearer tests follow each other, each only on the texts that passed the one before: a search for words of the
+    grammars, their regular expressions over the whole text, and the reading line by line.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    hint = (
-        t.rlike(r"(?i)\b(\w+)(?:\W+\1\b){3}|\b(?:heading|subheading|byline|pull quote)\b")
-        | t.rlike(NOTICE.replace("(?i)", "(?im)", 1)) | t.rlike(ERROR.replace("(?i)", "(?im)", 1)) | t.rlike(FILLER.replace("(?i)", "(?im)", 1))
-        | t.rlike(r"(?i)\b(?:" + "|".join(sorted(set(PSEUDO_LATIN) - {"do", "sit", "et", "ut", "massa", "porta", "labore"})) + r")\b")
-    )
+    low = F.lower(t)
+    signs = low.contains(LINE_SIGNS[0])
+    for w in LINE_SIGNS[1:]:
+        signs = signs | low.contains(w)
+    lines = t.rlike(NOTICE.replace("(?i)", "(?im)", 1)) | t.rlike(ERROR.replace("(?i)", "(?im)", 1)) | t.rlike(FILLER.replace("(?i)", "(?im)", 1))
+    latin = r"(?i)\b(?:" + "|".join(sorted(set(PSEUDO_LATIN) - {"do", "sit", "et", "ut", "massa", "porta", "labore"})) + r")\b"
+    hint = t.rlike(r"(?i)\b(\w+)(?:\W+\1\b){3}") | t.rlike(latin) | (signs & (low.rlike(r"\b(?:heading|subheading|byline|pull quote)\b") | lines))
     shares = F.when(hint, line_shares(t))
     out = documents.withColumns({"_slots": slot_count(t), "_s": shares})
     all_of = F.col("_s.content") + F.col("_s.filler") + F.col("_s.page")

@@ -53,7 +53,7 @@ class Settings:
     training_rows: int = 20_000
     trees: int = 24
     depth: int = 8
-    confident: float = 0.6
+    confident: float = 0.5
     seed: int = 7
 
 
@@ -205,13 +205,18 @@ def convert(cells: DataFrame, fx: DataFrame, s: Settings = Settings()) -> DataFr
     multiplicity). Without any row whose scale is known nothing can be learned: the column's own unit is then
     proposed with confidence 0, for review. Amounts outside [low, high] under every scale go to review.
     """
-    rows = durable(with_features(stated_amounts(cells, fx, s)))
+    stated_rows = durable(stated_amounts(cells, fx, s))
+    rows = with_features(stated_rows)
     position = F.array_position(F.array(*map(F.lit, SCALES)), F.coalesce("known", "default")).cast("int")
     by_default = F.col("known").isNull() & F.element_at("fits", position)
     only = F.array_position("fits", F.lit(True)).cast("int")
     unique = F.size(F.filter("fits", lambda x: x)) == 1
     label = F.when(F.col("known").isNotNull() | by_default, position - 1).when(unique, only - 1)
-    labelled = rows.withColumn("label", label.cast("double")).where("label is not null").select("source_field", "record_id", "features", "label", "fits")
+    picked = ["source_field", "record_id", "features", "label", "fits"]
+    labelled = rows.withColumn("label", label.cast("double")).where("label is not null").select(*picked)
+    # Cells whose scale comes from a note are learned from once more as if the note were missing.
+    hidden = with_features(stated_rows.where("known is not null and own is null").withColumn("noted", F.lit(None).cast("double")))
+    labelled = labelled.unionByName(hidden.withColumn("label", label.cast("double")).select(*picked))
     n = labelled.count()
     if n == 0:
         return rows.select("source_field", "record_id", "cell", (F.col("value") * F.col("default") * F.col("rate")).alias("amount_inr"), F.lit("column").alias("basis"), F.lit(0.0).alias("confidence"), F.lit(True).alias("review"))

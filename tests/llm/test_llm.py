@@ -93,6 +93,16 @@ def test_pairs_of_names(a, b, near):
     assert (matching.pair_cost(a, b) <= 1.5) is near
 
 
+def test_candidates_are_all_that_pair_cost_accepts(spark):
+    names = ["leestilk neesteeng", "ll nisteeng", "p lumkrik", "poyojain loomkrik", "w jirranol", "wedston jeerranol", "thaishiv giwek", "tb geewek", "rosy k", "k rosalind", "li na", "lin a", "edstonjeeranol", "kl rao", "wedstonjeerranol", "mabel ott", "meabl ott", "samit", "asmti", "karan"]
+    names += ["a" * 33 + "b", "a" * 32 + " bcd"]
+    of = lambda side: [(k + side, 2020, "bikita", None, n, None, None, None) for k, n in enumerate(names)]
+    schema = "id bigint, season bigint, place string, nick string, name string, country string, role string, amount double"
+    got = {(r.id - 100, r.id2 - 200) for r in matching.candidate_pairs(spark.createDataFrame(of(100), schema), spark.createDataFrame(of(200), schema)).collect()}
+    assert got == {(i, j) for i, a in enumerate(names) for j, b in enumerate(names) if matching.pair_cost(a, b) <= matching.MAX_COST}
+    assert {(0, 1), (2, 3), (4, 5), (8, 9), (10, 11), (12, 14)} <= got
+
+
 def test_teams(spark):
     typed = ["Bikita Herons", "The Bikita Herons", "Herons, Bikita", "Herons (Bikita)", "BIKITA HERONS ", "Bikita", "BIKH", None, ""]
     got = [r.t for r in spark.createDataFrame([(t,) for t in typed], "t string").select(matching.team_parts(F.col("t")).alias("t")).collect()]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from string import ascii_lowercase
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -16,6 +17,9 @@ from crease.sources.tables import table
 # League codes by category; any other code is domestic.
 CATEGORIES = {"ipl": "Franchise", "bbl": "Franchise", "cpl": "Franchise", "cplx": "Franchise", "psx": "Franchise", "mlc": "Franchise", "mlcx": "Franchise", "t20i": "International"}
 
+#: Parts of a block of candidates, and partitions they are spread over.
+SALTS, SPREAD = 8, 48
+
 
 def participation(spark: SparkSession, base: str) -> DataFrame:
     """One row for each player of each team list; a match without lists gives one row with no player for each team."""
@@ -52,23 +56,52 @@ def venues(spark: SparkSession, base: str) -> DataFrame:
 
 
 def similar_venues(spark: SparkSession, base: str, least: float = 0.8) -> DataFrame:
-    """Pairs of grounds with similar keys for review. Blocked by the first and by the last word of the key."""
-    v = venues(spark, base).select("venue_id", "key")
-    blocks = v.withColumn("block", F.explode(F.array_distinct(F.array(F.element_at(F.split("key", " "), 1), F.concat(F.lit("*"), F.substring("key", 1, 4))))))
-    a, b = blocks.select("block", F.col("venue_id").alias("id_1"), F.col("key").alias("key_1")), blocks.select("block", F.col("venue_id").alias("id_2"), F.col("key").alias("key_2"))
-    pairs = a.join(b, "block").where("id_1 < id_2").drop("block").distinct()
-    return similar(pairs, "key_1", "key_2").where((F.col("similarity") >= least) & (F.col("similarity") < 1))
+    """Pairs of grounds with similar keys for review, as if every ground were compared with every other."""
+    return similar_keys(venues(spark, base).select("venue_id", "key"), least)
+
+
+def similar_keys(v: DataFrame, least: float) -> DataFrame:
+    """Pairs of rows of ``v`` (venue_id, key) whose similarity is at least ``least`` and below 1.
+
+    A key is at most (2 - least) / least times as long as one that similar, so keys meet by length; each length
+    is spread over salts, and bounds drop most pairs before their similarity is computed.
+    """
+    v = v.withColumns({"n": F.length("key"), "letters": letters(F.col("key"))})
+    far = F.ceil(F.col("n") * F.lit((2 - least) / least)).cast("int")
+    a = v.select(*[F.col(c).alias(f"{c}_a") for c in v.columns], F.explode(F.sequence("n", far)).alias("n_b")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    b = v.select(*[F.col(c).alias(f"{c}_b") for c in v.columns]).withColumn("salt", F.pmod(F.hash("key_b"), F.lit(SALTS)))
+    a, b = (x.repartition(SPREAD, "n_b", "salt") for x in (a, b))
+    met = a.hint("merge").join(b, ["n_b", "salt"]).where((F.col("n_a") < F.col("n_b")) | (F.col("key_a") < F.col("key_b")))
+    met = met.where(reach("letters_a", "letters_b", F.col("n_a") + F.col("n_b")) >= least - 1e-9)
+    turned = F.col("key_a") > F.col("key_b")
+    side = lambda c, x, y: F.when(turned, F.col(f"{c}_{y}")).otherwise(F.col(f"{c}_{x}"))
+    pairs = met.select(side("venue_id", "a", "b").alias("id_1"), side("key", "a", "b").alias("key_1"), side("venue_id", "b", "a").alias("id_2"), side("key", "b", "a").alias("key_2"))
+    return similar(pairs, "key_1", "key_2", least).where(F.col("similarity").isNotNull() & (F.col("ratio") < 1)).drop("ratio")
+
+
+def letters(c: Column) -> Column:
+    """How often each letter occurs in a text, then the number of all other characters."""
+    each = F.transform(F.array(*[F.lit(x) for x in ascii_lowercase]), lambda x: F.length(c) - F.length(F.replace(c, x, F.lit(""))))
+    return F.concat(each, F.array(F.length(c) - F.aggregate(each, F.lit(0), lambda n, k: n + k)))
+
+
+def reach(a: str, b: str, total: Column) -> Column:
+    """The most that the similarity of two texts with these ``letters`` can be; ``total`` is their joint length."""
+    both = F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0), lambda n, k: n + k)
+    return F.when(total > 0, 2.0 * both / total).otherwise(1.0)
 
 
-def similar(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """pairs + similarity: twice the matching characters over all, longest common blocks first."""
+def similar(pairs: DataFrame, a: str, b: str, least: float) -> DataFrame:
+    """pairs + ratio and similarity (ratio to three places): twice the matching characters over all, longest common
+    blocks first. Both are NULL where the ratio is below ``least``, which is judged before it is rounded."""
 
     @F.pandas_udf("double")
     def ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for x, y in batches:
             yield pd.Series([SequenceMatcher(None, p, q).ratio() if p is not None and q is not None else None for p, q in zip(x, y)], dtype="float64")
 
-    return pairs.withColumn("similarity", F.round(ratio(F.col(a), F.col(b)), 3))
+    r = F.col("ratio")
+    return pairs.withColumn("ratio", ratio(F.col(a), F.col(b))).withColumn("ratio", F.when(r >= least, r)).withColumn("similarity", F.round("ratio", 3))
 
 
 def observations(spark: SparkSession, base: str) -> DataFrame:
@@ -105,7 +138,7 @@ def fuzzy_candidates(spark: SparkSession, base: str, least: float = 0.7, keep: i
     block = lambda c: F.substring(last(c), 1, 3)
     right = table(spark, base, "people_register").select("player_id", "player_name").distinct()
     pairs = left.withColumn("b", block(F.col("name"))).join(right.withColumn("b", block(F.col("player_name"))), "b").drop("b")
-    scored = similar(pairs.withColumns({"x": F.lower("name"), "y": F.lower("player_name")}), "x", "y").drop("x", "y").where(F.col("similarity") >= least)
+    scored = similar(pairs.withColumns({"x": F.lower("name"), "y": F.lower("player_name")}), "x", "y", 0.0).drop("x", "y", "ratio").where(F.col("similarity") >= least)
     order = Window.partitionBy("name").orderBy(F.desc("similarity"), "player_name")
     ranked = scored.withColumns({"place": F.row_number().over(order), "next": F.lead("similarity").over(order)})
     s, margin = F.col("similarity"), F.col("similarity") - F.coalesce("next", F.lit(0.0))

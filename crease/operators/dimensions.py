@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from crease.functions.scalars import compact_key, initials_key, literal_map, role_name, season_years, strip_suffix_key, surname_initial, venue_key
+from crease.functions.scalars import compact_key, initials_key, literal_map, name_tokens, role_name, season_years, strip_suffix_key, surname_initial, venue_key
 from crease.operators.facts import matches
 from crease.sources.tables import table
 
@@ -128,17 +128,31 @@ def identity_audit(spark: SparkSession, base: str) -> DataFrame:
     return out.select("name", bucket.alias("bucket"), player.alias("player_id"))
 
 
+def near_names(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """(name, player_id, player_name, similarity) of the names of ``left`` and ``right`` that share an initial and are
+    at least that similar. A pair of several shared initials meets at the first only; initials are spread over salts,
+    and bounds drop most pairs before their similarity is computed."""
+    starts = lambda t: F.array_sort(F.array_distinct(F.transform(t, lambda x: F.substring(x, 1, 1))))
+    a = left.withColumns({"x": F.lower("name"), "heads": starts(name_tokens(F.col("name")))})
+    b = right.withColumns({"y": F.lower("player_name"), "heads2": starts(F.filter(name_tokens(F.col("player_name")), lambda t: F.length(t) > 1))})
+    a = a.withColumns({"n": F.length("x"), "letters": letters(F.col("x")), "head": F.explode("heads"), "salt": F.pmod(F.hash("name"), F.lit(SALTS))})
+    b = b.withColumns({"n2": F.length("y"), "letters2": letters(F.col("y")), "head": F.explode("heads2")}).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    a, b = (x.repartition(SPREAD, "head", "salt") for x in (a, b))
+    met = a.hint("merge").join(b, ["head", "salt"]).where(F.col("head") == F.array_min(F.array_intersect("heads", "heads2")))
+    total = F.col("n") + F.col("n2")
+    met = met.where((2.0 * F.least("n", "n2") >= (least - 1e-9) * total) & (reach("letters", "letters2", total) >= least - 1e-9))
+    pairs = met.select("name", "player_id", "player_name", "x", "y")
+    return similar(pairs, "x", "y", least).where("similarity is not null").select("name", "player_id", "player_name", "similarity")
+
+
 def fuzzy_candidates(spark: SparkSession, base: str, least: float = 0.7, keep: int = 3) -> DataFrame:
     """For each name without a register entry its three most similar registered names, with the accept rule.
 
-    Blocked by surname's first three letters and length band, so that no name meets every other.
+    A name meets the registered names with a word of over one letter that starts as any of its words does.
     """
     left = identity_audit(spark, base).where("bucket = 'unmatched'").select("name")
-    last = lambda c: F.element_at(F.split(F.lower(c), r"[^a-z]+"), -1)
-    block = lambda c: F.substring(last(c), 1, 3)
     right = table(spark, base, "people_register").select("player_id", "player_name").distinct()
-    pairs = left.withColumn("b", block(F.col("name"))).join(right.withColumn("b", block(F.col("player_name"))), "b").drop("b")
-    scored = similar(pairs.withColumns({"x": F.lower("name"), "y": F.lower("player_name")}), "x", "y", 0.0).drop("x", "y", "ratio").where(F.col("similarity") >= least)
+    scored = near_names(left, right, least)
     order = Window.partitionBy("name").orderBy(F.desc("similarity"), "player_name")
     ranked = scored.withColumns({"place": F.row_number().over(order), "next": F.lead("similarity").over(order)})
     s, margin = F.col("similarity"), F.col("similarity") - F.coalesce("next", F.lit(0.0))

@@ -113,27 +113,50 @@ def changes(members: DataFrame) -> DataFrame:
 
 
 def typed_table(members: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(the consistent table, the cells whose value does not convert to the column's type)."""
-    cells = members.where("json_type <> 'null'").join(attributes(members), "path").where("attribute is not null")
+    """(the consistent table, the cells whose value does not convert to the column's type).
+
+    A list gives all its elements, joined by ", " (in a column of numbers or flags only a list of one converts). Every
+    part of an object is kept in the map ``parts`` by "attribute.part", and currencies and short team names in columns.
+    ``others`` maps a path to its values: members without an attribute, and values of an attribute that the record holds
+    besides the one in its column.
+    """
+    cells = members.where("json_type <> 'null'").join(attributes(members), "path")
     part = lambda name: F.get_json_object("value", f"$.{name}")
-    text = F.when(F.col("json_type") == "array", F.get_json_object("value", "$[0]")).when(
+    elements = F.when(F.col("json_type") == "array", F.from_json("value", "array<string>"))
+    members_of = F.when(F.col("json_type") == "object", F.from_json("value", "map<string,string>"))
+    text = F.when(F.col("json_type") == "array", F.nullif(F.array_join(elements, ", "), F.lit(""))).when(
         F.col("json_type") == "object", F.coalesce(F.nullif(F.concat_ws(" ", part("first"), part("last")), F.lit("")), part("name"), part("amount"), part("code"))
     ).otherwise(F.col("value"))
-    cells = durable(cells.select(*keys, "path", "attribute", "json_type", "value", F.trim(text).alias("text")))
-    amount = parse_amount(F.col("text"))
+    cells = durable(cells.select(*keys, "path", "attribute", "json_type", "value", F.trim(text).alias("text"), members_of.alias("parts"), F.coalesce(F.size(elements) > 1, F.lit(False)).alias("several")))
+    numbers, wholes, flags = ("price", "base_price"), ("age", "lot", "set", "league_matches"), ("capped", "rtm")
+    one = F.when(~F.col("several"), F.col("text"))
+    amount = parse_amount(one)
     number = amount["value"] * F.coalesce(amount["scale"], F.lit(1.0))
-    whole = F.regexp_extract("text", r"(\d+)", 1).try_cast("bigint")
-    yes, no = F.lower("text").isin("true", "y", "yes", "capped"), F.lower("text").isin("false", "n", "no", "uncapped")
+    whole = F.regexp_extract(one, r"(\d+)", 1).try_cast("bigint")
+    yes, no = F.lower(one).isin("true", "y", "yes", "capped"), F.lower(one).isin("false", "n", "no", "uncapped")
     flag = F.when(yes, True).when(no, False)
-    numbers, wholes, flags = ("price", "base_price"), ("age", "lot", "set", "league_matches"), ("capped", "rtm")
     failed = (
         (F.col("attribute").isin(*numbers) & number.isNull()) | (F.col("attribute").isin(*wholes) & whole.isNull())
         | (F.col("attribute").isin(*flags) & flag.isNull()) | F.col("text").isNull()
     )
-    pick = lambda a, c: F.min(F.when(F.col("attribute") == a, c)).alias(a)
     texts = [a for a in ATTRIBUTE_HEADERS if a not in (*numbers, *wholes, *flags)]
-    out = cells.groupBy(*keys).agg(*[pick(a, F.col("text")) for a in texts], *[pick(a, number) for a in numbers], *[pick(a, whole) for a in wholes], *[pick(a, flag) for a in flags])
-    return out, cells.where(failed).select(*keys, "path", "attribute", "json_type", "value")
+    cells = cells.withColumns({"number": number, "whole": whole, "flag": flag, "failed": F.col("attribute").isNotNull() & failed})
+    of = lambda names, c: F.when(F.col("attribute").isin(*names), F.col(c))
+    order = [F.asc_nulls_last(x) for x in (of(numbers, "number"), of(wholes, "whole"), of(flags, "flag"))] + [F.asc_nulls_last("text"), F.desc(F.col("json_type") == "object"), "path", "value"]
+    cells = cells.withColumn("k", F.row_number().over(Window.partitionBy(*keys, "attribute").orderBy(*order)))
+    first = F.col("k") == 1
+    pick = lambda a, c: F.min(F.when((F.col("attribute") == a) & first, F.col(c))).alias(a)
+    piece = lambda a, p: F.min(F.when((F.col("attribute") == a) & first, F.try_element_at("parts", F.lit(p)))).alias(f"{a}_{p}")
+    spare = F.when(F.col("attribute").isNull() | ~first, F.struct("path", "value"))
+    pieces = F.when(F.col("attribute").isNotNull() & first, F.transform(F.map_entries("parts"), lambda e: F.struct(F.concat_ws(".", "attribute", e["key"]).alias("key"), e["value"].alias("value"))))
+    spares = F.array_sort(F.collect_list(spare))
+    paths = F.array_distinct(F.transform(spares, lambda x: x["path"]))
+    others = F.map_from_arrays(paths, F.transform(paths, lambda p: F.transform(F.filter(spares, lambda x: x["path"] == p), lambda x: x["value"]))).alias("others")
+    out = cells.groupBy(*keys).agg(
+        *[pick(a, "text") for a in texts], *[pick(a, "number") for a in numbers], *[pick(a, "whole") for a in wholes], *[pick(a, "flag") for a in flags],
+        *[piece(a, "currency") for a in numbers], piece("team", "short"), F.map_from_entries(F.flatten(F.collect_list(pieces))).alias("parts"), others,
+    )
+    return out, cells.where("failed").select(*keys, "path", "attribute", "json_type", "value")
 
 
 def auction_members(spark: SparkSession, base: str, keys: tuple[str, ...] = ("feed_id", "season")) -> DataFrame:

@@ -56,6 +56,19 @@ def test_typed_table_reports_failed_casts(spark):
     assert [(x.path, x.value) for x in failed.collect()] == [("Is Capped", "maybe")]
 
 
+def test_typed_table_keeps_all_content(spark):
+    record = {"Name": {"first": "A", "last": "B", "middle": "M"}, "Role": ["Batter", "Captain"], "Price": {"amount": 8500000, "currency": "INR"}, "Team": {"name": "Mitali Royals", "short": "MIT"}, "Age": ["23", "24"], "Lot No": ["7"], "Strike": 131.5, "Buyer": "Mitali Royals", "Gone": None}
+    rows = [("f", 1, 1, json.dumps(record)), ("f", 1, 2, json.dumps({"Strike": 99}))]
+    keys = ["feed_id", "season", "row_no"]
+    out, failed = typed_table(path_values(spark.createDataFrame(rows, "feed_id string, season bigint, row_no bigint, j string"), keys, "j"), keys)
+    r, only = out.orderBy("row_no").collect()
+    assert (r.player, r.role, r.price, r.price_currency, r.team, r.team_short, r.age, r.lot) == ("A B", "Batter, Captain", 8.5e6, "INR", "Mitali Royals", "MIT", None, 7)
+    assert r.parts == {"player.first": "A", "player.last": "B", "player.middle": "M", "price.amount": "8500000", "price.currency": "INR", "team.name": "Mitali Royals", "team.short": "MIT"}
+    assert r.others == {"Strike": ["131.5"], "Buyer": ["Mitali Royals"]}
+    assert only.others == {"Strike": ["99"]} and only.player is None
+    assert [(x.path, x.value) for x in failed.collect()] == [("Age", '["23","24"]')]
+
+
 def as_list(v):
     return v if isinstance(v, list) else [] if v is None else [v]
 

@@ -175,6 +175,31 @@ def test_residue(spark):
     assert residue.without_residue(df).count() == sum(v is None for v in CASES.values())
 
 
+MORE_RESIDUE = {
+    "404": "page", "Please enable pop-ups to go on.": "page", "bar baz bar baz": "filler", "ccc ddd ccc ddd": "filler", "Oops! Something went wrong. Incident #91621": "page", "503\n\nIncident #7262": "page",
+    "कृपया इस पृष्ठ को देखने के लिए जावास्क्रिप्ट चालू करें।": "page", "यहाँ नमूना पाठ लिखें। यहाँ नमूना पाठ लिखें।": "filler", "बारिश के कारण मैच 17 ओवर का कर दिया गया।": None,
+    "which the captain called [MATCH_DATE] but not decisive": "slot", "bkrimwsp nmdutdg gwgcnbn oed vdk oota dhmb shwleolc kfevggb": "filler", "Veritas cunctarum minor solapis tegnum urbit salva nocturem.": "filler",
+    "İstanbul bkrimwsp nmdutdg gwgcnbn oed vdk oota dhmb shwleolc kfevggb": "filler", "Use `{a}`, `{b}`, `{c}` and `{d}` in a line; {e} works too, as the guide says.": None, "Scorers met today. " + "A long over. " * 3000 + "It ended {{when}}.": "slot",
+}
+
+
+def test_residue_by_measure_and_context(spark):
+    df = spark.createDataFrame(list(enumerate(MORE_RESIDUE)), "i int, text string")
+    got = {r.i: r.residue for r in residue.judge(df).collect()}
+    for i, (t, want) in enumerate(MORE_RESIDUE.items()):
+        assert got[i] == want, t[:60]
+
+
+def test_literals_of_rules_are_in_every_match():
+    """The search by literals loses nothing: on every document, it finds what all rules on all sentences find."""
+    rules, every = residue.Rules(), residue.Rules()
+    every.machine = type("All", (), {"iter": lambda self, low: [(i, range(len(every.rules))) for i in range(len(low))]})()
+    texts = [t for t in (*CASES, *MORE_RESIDUE) if t and len(t) < 2000] + pq.read_table(DATA / "documents.parquet", columns=["text"])["text"].to_pylist()[:60]
+    for t in texts:
+        if len(t) < 1500:
+            assert rules.residue(t) == every.residue(t), t[:80]
+
+
 PLAIN: dict = {}
 FOUND = ["p2_found", "p4_found", "p7_found", "p10_found", "p8_packs", "p9_mix"]
 

@@ -152,8 +152,8 @@ def in_range(amount: Column, s: Settings) -> Column:
     return F.coalesce(amount.between(s.low * 0.999, s.high * 1.001), F.lit(False))
 
 
-def stated_amounts(cells: DataFrame, fx: DataFrame, s: Settings) -> DataFrame:
-    """Parsed cells with the scale that text or note states (``known``, NULL if none) and the features."""
+def with_scales(cells: DataFrame, fx: DataFrame, s: Settings) -> DataFrame:
+    """Parsed cells with their rate and the scales that text (``own``), note and column state; ``known`` by text or note."""
     parsed = cells.withColumn("p", parse_amount(F.col("cell"))).where("p is not null")
     field_currency = F.coalesce(F.try_element_at(literal_map(FIELD_CURRENCY), F.col("source_field")), F.lit("INR"))
     parsed = parsed.select(
@@ -166,9 +166,15 @@ def stated_amounts(cells: DataFrame, fx: DataFrame, s: Settings) -> DataFrame:
     noted = F.when(foreign, noted_scale(F.col("note"), dollars=True)).otherwise(noted_scale(F.col("note")))
     default = F.coalesce(F.try_element_at(literal_map(FIELD_SCALE), F.col("source_field")), F.lit(1.0))
     amount = lambda scale: F.col("value") * scale * F.col("rate")
-    parsed = parsed.withColumns({"noted": noted, "default": default}).withColumn(
+    return parsed.withColumns({"noted": noted, "default": default}).withColumn(
         "known", F.when(F.col("own").isNotNull(), F.col("own")).when(in_range(amount(F.col("noted")), s), F.col("noted"))
     )
+
+
+def stated_amounts(cells: DataFrame, fx: DataFrame, s: Settings) -> DataFrame:
+    """Parsed cells with the scale that text or note states (``known``, NULL if none) and the features."""
+    parsed = with_scales(cells, fx, s)
+    amount = lambda scale: F.col("value") * scale * F.col("rate")
     fits = F.array(*[in_range(amount(F.lit(x)), s) for x in SCALES])
     near = F.aggregate(
         F.filter(F.transform(F.col("all_cells"), lambda x: F.regexp_replace(x, "[^0-9.]", "").try_cast("double")), lambda x: x > 0),
@@ -255,6 +261,16 @@ def convert(cells: DataFrame, fx: DataFrame, s: Settings = Settings()) -> DataFr
     )
 
 
+def read_amounts(cells: DataFrame, fx: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """(source_field, record_id, amount_inr) of the cells whose stated unit, or else the column's own, fits the range.
+
+    No model is asked: this is for callers that compare amounts and can do without the cells in doubt.
+    """
+    rows = with_scales(cells, fx, s)
+    amount = F.col("value") * F.coalesce("known", "default") * F.col("rate")
+    return rows.where(in_range(amount, s)).select("source_field", "record_id", amount.alias("amount_inr"))
+
+
 def p1_found(spark: SparkSession, base: str) -> DataFrame:
     out = convert(typed_prices(spark, base), table(spark, base, "fx_rates"))
     return out.where("not review").select("source_field", "record_id", F.round("amount_inr").cast("bigint").alias("amount_inr")).distinct()

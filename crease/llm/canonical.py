@@ -1,7 +1,7 @@
 """Freely typed values mapped to the entries of a reference list; values that fit none are reported.
 
-Every canonical name and alias is a pattern of a multi-pattern automaton. Its longest mention embedded in a typed
-value names the entry, unless what remains beside it contradicts (a number or letter that tells two entries apart).
+Every canonical name and alias is a pattern of a multi-pattern automaton. Of the mentions embedded in a typed
+value the longest that do not overlap are kept, and the longest of these names the entry, unless what remains beside it contradicts (a number or letter that tells two entries apart).
 Values without such a mention go to token-set similarity: an entry is a candidate when one of its distinctive words
 is within two edits of a typed one (symmetric-delete join), and all its distinctive words must be found again.
 Each distinct value is read once, however many rows hold it.
@@ -33,8 +33,6 @@ UNKNOWN = "VEN_UNKNOWN"
 #: Patterns held by one automaton; a longer list is searched in blocks of this size.
 BLOCK = 50_000
 MAX_COST, MARGIN = 1.3, 0.15
-#: No name has more words; longer values are searched for mentions only.
-LONGEST_NAME = 30
 
 
 def place_key(c: Column) -> Column:
@@ -47,18 +45,29 @@ def place_key(c: Column) -> Column:
     return F.regexp_replace(F.array_join(tokens, " "), "^the ", "")
 
 
+def pattern_blocks(entries: DataFrame, block: int) -> Iterator[list]:
+    """The distinct entries in lists of at most ``block``; a block that turns out larger is split again, so none is lost."""
+    n = entries.count()
+    parts = -(-n // block) or 1
+    todo = [(parts, i) for i in range(parts)]
+    while todo:
+        parts, i = todo.pop()
+        part = entries if parts == 1 else entries.where(F.pmod(F.xxhash64("name", "entry_id"), F.lit(parts)) == i)
+        rows = bounded_rows(part, block)
+        if rows is None:
+            todo += [(2 * parts, i), (2 * parts, i + parts)]
+        else:
+            yield rows
+
+
 def mentions(values: DataFrame, entries: DataFrame, block: int = BLOCK) -> DataFrame:
     """(value, start, n, entry_id): every mention of an entry's name in ``values.value``, at word boundaries.
 
-    entries: (name, entry_id). Up to ``block`` entries are one automaton shipped with the tasks; beyond that the list
-    is searched block by block and the mentions are united, so no task ever holds more than a block.
+    entries: distinct (name, entry_id). Up to ``block`` entries are one automaton shipped with the tasks; beyond that
+    the list is searched block by block and the mentions are united, so no task ever holds more than a block.
     """
-    n = entries.count()
-    parts = -(-n // block) or 1
     out = None
-    for i in range(parts):
-        part = entries if parts == 1 else entries.where(F.pmod(F.xxhash64("name"), F.lit(parts)) == i)
-        rows = bounded_rows(part, block * 2) or []
+    for rows in pattern_blocks(entries, block):
         patterns: dict[str, set[str]] = {}
         for r in rows:
             if r["name"]:
@@ -85,6 +94,23 @@ def mentions(values: DataFrame, entries: DataFrame, block: int = BLOCK) -> DataF
     return out
 
 
+def chosen_mentions(found: DataFrame) -> DataFrame:
+    """(value, c): the mentions of each value that are kept, longest first, none overlapping a longer one.
+
+    Mentions of the same place and length (one name of several entries) are kept together. Ties go to the earlier.
+    """
+    at = F.struct((-F.col("n")).alias("n"), F.col("start").alias("start"), F.col("entry_id").alias("entry_id"))
+    every = found.groupBy("value").agg(F.array_sort(F.collect_set(at)).alias("c"))
+
+    def keep(kept: Column, x: Column) -> Column:
+        same = lambda k: (k["start"] == x["start"]) & (k["n"] == x["n"])
+        apart = lambda k: (k["start"] >= x["start"] - x["n"]) | (x["start"] >= k["start"] - k["n"])
+        return F.when(F.forall(kept, lambda k: same(k) | apart(k)), F.concat(kept, F.array(x))).otherwise(kept)
+
+    none = F.array().cast("array<struct<n:int,start:int,entry_id:string>>")
+    return every.select("value", F.aggregate("c", none, keep).alias("c"))
+
+
 def telling(tokens: list[str]) -> set[str]:
     return {ROMAN.get(t, t) for t in tokens if t in TELLING}
 
@@ -103,6 +129,10 @@ def entry_cost(value: str, name: str, city: str | None) -> float:
     if not core or (telling(typed[1:]) != marks and telling(typed) != marks):
         return 99.0
     rest = [t for i, t in enumerate(typed) if not (t in TELLING and (i or t in marks)) and t != "dr"]
+    # Words beyond those an entry can explain cost 0.45 each, which many of them cannot make up for.
+    spare = sum(1 for t in typed if t not in TELLING and t != "dr") - len(core) - len(town) - len(kinds)
+    if spare * 0.45 - 0.05 * len(town) > MAX_COST + MARGIN:
+        return 99.0
     cost = 0.0
     for c in core:
         best = min(((edit(t, c), k) for k, t in enumerate(rest)), default=(9, -1))
@@ -132,24 +162,25 @@ def map_values(values: DataFrame, entries: DataFrame) -> DataFrame:
     """(value, entry_id, basis) for each distinct key in ``values.value``; entry_id is NULL where nothing fits.
 
     entries: (entry_id, name, city), canonical names and aliases alike. basis: 'mention', 'similar' or 'none'.
-    An empty list leaves every value unmatched; a tie between entries is unmatched. A value of over LONGEST_NAME
-    words is searched for mentions but not compared by similarity; an entry as long can only be mentioned.
+    An empty list leaves every value unmatched; a tie between entries is unmatched. Values of any length are compared.
     """
     values = durable(values.select("value").where("value <> ''").distinct())
     entries = durable(entries.where("name <> '' and entry_id is not null").distinct())
     found = mentions(values, entries.select("name", "entry_id"))
-    left = F.concat(F.substring("value", F.lit(1), F.col("start")), F.lit(" "), F.substring(F.col("value"), F.col("start") + F.col("n") + 1, F.lit(10_000)))
-    rest = F.filter(words(left), lambda t: t.isin(*TELLING) | t.rlike(r"^\d+$"))
-    longest = found.groupBy("value").agg(F.array_sort(F.collect_set(F.struct((-F.col("n")).alias("n"), F.size(rest).alias("marks"), "entry_id"))).alias("c"))
+    kept = chosen_mentions(found)
     first = F.get("c", F.lit(0))
     same = F.filter("c", lambda x: x["n"] == first["n"])
-    sure = longest.where((F.size(F.array_distinct(F.transform(same, lambda x: x["entry_id"]))) == 1) & (first["marks"] == 0)).select("value", first["entry_id"].alias("entry_id"))
-    short = lambda c: F.size(words(F.col(c))) <= LONGEST_NAME
-    open_ = values.join(sure, "value", "left_anti").where(short("value"))
+    one = F.size(F.array_distinct(F.transform(same, lambda x: x["entry_id"]))) == 1
+    # What stands beside the longest mention must not tell another entry from it.
+    after = first["start"] - first["n"]
+    left = F.concat(F.substring("value", F.lit(1), first["start"]), F.lit(" "), F.substring(F.col("value"), after + 1, F.length("value")))
+    marks = F.filter(words(left), lambda t: t.isin(*TELLING) | t.rlike(r"^\d+$"))
+    sure = kept.where(one & (F.size(marks) == 0)).select("value", first["entry_id"].alias("entry_id"))
+    open_ = values.join(sure, "value", "left_anti")
 
     skip = (*KIND_WORDS, *FILL_WORDS, *TELLING)
     typed = open_.select("value", F.explode(F.array_distinct(words(F.col("value")))).alias("l")).where(F.length("l") >= 4).where(~F.col("l").isin(*skip))
-    cores = entries.where(short("name")).select("entry_id", "name", "city", F.explode(F.array_distinct(words(F.col("name")))).alias("r")).where(F.length("r") >= 4).where(~F.col("r").isin(*skip))
+    cores = entries.select("entry_id", "name", "city", F.explode(F.array_distinct(words(F.col("name")))).alias("r")).where(F.length("r") >= 4).where(~F.col("r").isin(*skip))
     pairs = typed.join(near_tokens(typed, cores), "l").join(cores, "r").select("value", "entry_id", "name", "city").distinct()
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -11,16 +11,20 @@ itself; with thousands of documents in a shard, what sharding wastes is below on
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crease.llm.tokens import with_tokens
-from crease.sources.tables import durable, table
+from crease.sources.tables import bounded_rows, durable, table
 
-#: Documents in a shard at most (on average); items over this share of the capacity are large; groups of large items.
-SHARD_ROWS, LARGE, GROUPS = 20_000, 0.10, 48
+#: Documents in a shard at most (on average); items over this share of the capacity are large; groups of large items at
+#: most, which is more than there are lengths where the capacity is small, so that rounding costs little there.
+SHARD_ROWS, LARGE, GROUPS = 20_000, 0.10, 1000
+#: Steps of the search for one configuration; capacities that are broadcast at most (more are joined otherwise).
+STEPS, FEW_CAPACITIES = 400, 1000
 
 
 def group_sizes(lengths: list[int], groups: int) -> list[list[int]]:
@@ -30,15 +34,16 @@ def group_sizes(lengths: list[int], groups: int) -> list[list[int]]:
     return [list(range(i, min(n, i + step))) for i in range(0, n, step)]
 
 
-def best_configuration(sizes: list[int], left: list[int], capacity: int) -> list[int]:
-    """Counts of each size (descending) for one pack with the least unused room, within what is left.
+def best_configuration(sizes: list[int], left: list[int], capacity: int) -> dict[int, int]:
+    """Size number -> count for one pack with the least unused room, within what is left of each size (descending).
 
     A bounded search: the largest size left opens the pack, then depth first over ever smaller sizes; the first
     filling without waste ends it, and a budget of steps bounds it.
     """
     first = next(i for i, k in enumerate(left) if k)
+    below = [-x for x in sizes]
     best_room, best = capacity + 1, []
-    budget = 400
+    budget = STEPS
 
     def fill(i: int, room: int, chosen: list[int]) -> bool:
         nonlocal best_room, best, budget
@@ -47,8 +52,8 @@ def best_configuration(sizes: list[int], left: list[int], capacity: int) -> list
             best_room, best = room, list(chosen)
         if room == 0 or budget <= 0:
             return True
-        for j in range(i, len(sizes)):
-            if sizes[j] <= room and left[j] > chosen.count(j):
+        for j in range(bisect_left(below, -room, i), len(sizes)):
+            if left[j] and left[j] > chosen.count(j):
                 chosen.append(j)
                 done = fill(j, room - sizes[j], chosen)
                 chosen.pop()
@@ -57,10 +62,7 @@ def best_configuration(sizes: list[int], left: list[int], capacity: int) -> list
         return False
 
     fill(first, capacity - sizes[first], [first])
-    counts = [0] * len(sizes)
-    for j in best:
-        counts[j] += 1
-    return counts
+    return Counter(best)
 
 
 def pack_lengths(lengths: list[int], capacity: int, large: float = LARGE, groups: int = GROUPS) -> list[int]:
@@ -77,17 +79,21 @@ def pack_lengths(lengths: list[int], capacity: int, large: float = LARGE, groups
     sizes = [lengths[big[g[0]]] for g in cut]
     queues = [[big[p] for p in reversed(g)] for g in cut]  # the last is the largest of its group
     left = [len(q) for q in queues]
-    while any(left):
+    while left:
         counts = best_configuration(sizes, left, capacity)
-        times = min(left[j] // k for j, k in enumerate(counts) if k)
+        times = min(left[j] // k for j, k in counts.items())
         for _ in range(times):
             used = 0
-            for j, k in enumerate(counts):
+            for j, k in counts.items():
                 for _ in range(k):
                     i = queues[j].pop()
                     pack_of[i] = len(room)
                     used += lengths[i]
             room.append(capacity - used)
+        # Sizes that are used up leave the search.
+        some = [j for j, q in enumerate(queues) if q]
+        if len(some) < len(queues):
+            sizes, queues = [sizes[j] for j in some], [queues[j] for j in some]
         left = [len(q) for q in queues]
     free = sorted((r, b) for b, r in enumerate(room))
     for i in small:
@@ -106,16 +112,22 @@ def pack(items: DataFrame, capacities: DataFrame, shard_rows: int = SHARD_ROWS)
     """(pack_name, pack_id, doc_id, piece, from_token, n_tokens) of every document in packs of every capacity.
 
     items: distinct (doc_id, n_tokens); capacities: (pack_name, capacity_tokens), positive. A document longer than
-    the capacity is split into pieces of the capacity and a last one; no other is split. Documents of 0 tokens and
-    NULL ids are left out. pack_id is unique within a pack_name. Empty tables give an empty result.
+    the capacity is split into pieces of the capacity and a last one; no other is split. Pieces of the full capacity are
+    packs by themselves and are not shuffled; only the others, at most one for each document, go to the shards.
+    Documents of 0 tokens and NULL ids are left out. pack_id is unique within a pack_name. Empty tables give an empty
+    result.
     """
-    rows = items.where("n_tokens > 0 and doc_id is not null").crossJoin(F.broadcast(capacities.where("capacity_tokens > 0").limit(1000)))
-    last = F.floor((F.col("n_tokens") - 1) / F.col("capacity_tokens"))
-    rows = rows.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
-    start = F.col("piece") * F.col("capacity_tokens")
-    rows = rows.select("pack_name", "capacity_tokens", "doc_id", "piece", start.alias("from_token"), F.least(F.col("capacity_tokens"), F.col("n_tokens") - start).alias("n_tokens"))
+    items = items.where("n_tokens > 0 and doc_id is not null")
+    few = bounded_rows(capacities.where("capacity_tokens > 0"), FEW_CAPACITIES)
+    sizes = capacities.where("capacity_tokens > 0")
+    rows = items.crossJoin(F.broadcast(sizes) if few is not None else sizes)
+    whole = F.floor(F.col("n_tokens") / F.col("capacity_tokens")).cast("bigint")
+    rest = F.col("n_tokens") - whole * F.col("capacity_tokens")
+    full = rows.where(whole > 0).withColumn("piece", F.explode(F.sequence(F.lit(0).cast("bigint"), whole - 1)))
+    full = full.select("pack_name", F.concat_ws("-", F.lit("full"), "doc_id", "piece").alias("pack_id"), "doc_id", "piece", (F.col("piece") * F.col("capacity_tokens")).alias("from_token"), F.col("capacity_tokens").alias("n_tokens"))
+    last = rows.where(rest > 0).select("pack_name", "capacity_tokens", "doc_id", whole.alias("piece"), (whole * F.col("capacity_tokens")).alias("from_token"), rest.alias("n_tokens"))
     shards = max(1, -(-items.count() // shard_rows))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)))
+    last = last.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)))
 
     def fill(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "piece"], kind="stable")
@@ -124,7 +136,7 @@ def pack(items: DataFrame, capacities: DataFrame, shard_rows: int = SHARD_ROWS)
         return pdf[["pack_name", "pack_id", "doc_id", "piece", "from_token", "n_tokens"]]
 
     schema = "pack_name string, pack_id string, doc_id bigint, piece bigint, from_token bigint, n_tokens bigint"
-    return rows.groupBy("pack_name", "shard").applyInPandas(fill, schema)
+    return last.groupBy("pack_name", "shard").applyInPandas(fill, schema).unionByName(full)
 
 
 def measured(spark: SparkSession, base: str) -> DataFrame:

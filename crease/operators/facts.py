@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crease.functions.scalars import credited, name_key, safe_div, season_years
-from crease.sources.tables import table
+from crease.sources.tables import once, table
 
 FIRST_SEASON, LAST_SEASON = 2018, 2026
 
@@ -33,9 +33,14 @@ def matches(spark: SparkSession, base: str) -> DataFrame:
 
 
 def fact(spark: SparkSession, base: str) -> DataFrame:
+    """The delivery fact of the tables below ``base``, made once for a session and read by every query after that."""
+    return once(spark, "fact", table(spark, base, "deliveries"), lambda: build_fact(spark, base))
+
+
+def build_fact(spark: SparkSession, base: str) -> DataFrame:
     d = table(spark, base, "deliveries").select(*DELIVERY_COLUMNS).dropDuplicates(["delivery_key"])
     first = table(spark, base, "deliveries").agg((F.min("over_number") == 0).alias("zero_based"))
-    m = matches(spark, base).select("match_id", "competition", "start_year", "gender", "venue", "match_date")
+    m = matches(spark, base).select("match_id", "competition", "start_year", "gender", "venue", "city", "match_date")
     flag = lambda c: c.cast("int")
     legal = F.coalesce(F.col("wides_runs"), F.lit(0)) == 0
     rows = d.join(m, "match_id").crossJoin(F.broadcast(first))

@@ -48,6 +48,18 @@ def test_unknown_headers_are_paired_by_their_values(spark):
     assert {tuple(r) for r in changes(members).collect()} == {("f", 2, "renamed", "Role", "Craft"), ("f", 2, "added", "", "Other")}
 
 
+def test_renames_need_no_known_names(spark):
+    """Names that no list holds, in a foreign tongue: only the values tell which field goes on under which name."""
+    old = {"Joueur": "Anil Kale", "Montant": "2,50,00,000", "Poste": "Bowler", "Numero": 17}
+    new = {"Spieler": "Kale Ravi", "Betrag": 24000000, "Aufgabe": ["Bowler", "Captain"], "Vermerk": "late entry"}
+    rows = [("f", 1, json.dumps(old))] * 2 + [("f", 2, json.dumps(new))] * 2
+    members = path_values(spark.createDataFrame(rows, "feed_id string, season bigint, j string"), ["feed_id", "season"], "j")
+    assert {tuple(r)[2:] for r in changes(members).collect()} == {
+        ("renamed", "Joueur", "Spieler"), ("renamed", "Montant", "Betrag"), ("retyped", "Montant", "Betrag"), ("renamed", "Poste", "Aufgabe"),
+        ("retyped", "Poste", "Aufgabe"), ("removed", "Numero", ""), ("added", "", "Vermerk"),
+    }
+
+
 def test_typed_table_reports_failed_casts(spark):
     rows = [("f", 1, 1, json.dumps({"Name": {"first": "A", "last": "B"}, "Final Bid": "2,00,00,000", "Age": "23y", "Is Capped": "maybe"}))]
     out, failed = typed_table(path_values(spark.createDataFrame(rows, "feed_id string, season bigint, row_no bigint, j string"), ["feed_id", "season", "row_no"], "j"), ["feed_id", "season", "row_no"])

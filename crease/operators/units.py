@@ -2,14 +2,16 @@
 
 A cell's text is tokenised and folded into (number, own scale, own currency). A scale that the cell does not
 state is taken from its row's or feed's note. Where neither states one, a calibrated random forest predicts it
-from magnitude, notation, source, the note's category and neighbouring fields; it is trained on the cells whose
-scale is known. Confident predictions are converted, the others are listed for review.
+from magnitude, notation, source, the column, the note's category and neighbouring fields; it is trained on the cells
+whose scale is stated, with the statement hidden, and its probabilities are shifted to the shares of scales that the
+unstated cells have. Confident predictions are converted, the others are listed for review.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -21,6 +23,10 @@ from crease.functions.scalars import literal_map
 from crease.sources.tables import durable, table
 
 SCALES = (1.0, 1e3, 1e5, 1e6, 1e7)
+#: Unstated cells that the stated shares weigh as much as.
+SHARE_CELLS = 50.0
+#: A longer number is no amount of money.
+DIGITS = 30
 
 # Words for scales, currencies and numbers, and words that may stand beside an amount.
 SCALE_WORDS = {
@@ -53,7 +59,7 @@ class Settings:
     training_rows: int = 20_000
     trees: int = 24
     depth: int = 8
-    confident: float = 0.5
+    confident: float = 0.6
     seed: int = 7
 
 
@@ -62,7 +68,7 @@ def parse_amount(text: Column) -> Column:
 
     value is the number before scaling when one scale is named, and the whole sum under scale 1 when several are
     ("2 cr 5 lakh"). scale and currency are NULL where the text names none. A text with any other word
-    ("see sheet 2") states no amount.
+    ("see sheet 2") states no amount, nor does a number of over DIGITS characters.
     """
     digits = F.translate(F.lower(text), "०१२३४५६७८९０１２３４５６７８９", "01234567890123456789")
     plain = F.regexp_replace(digits, r"(?<=\d),(?=\d)", "")
@@ -84,7 +90,7 @@ def parse_amount(text: Column) -> Column:
             F.when(closes, scale).otherwise(a["scale"]).alias("scale"),
             F.when(closes, a["units"] + 1).otherwise(a["units"]).alias("units"),
             F.coalesce(a["currency"], cur).alias("currency"),
-            (a["bad"] | (value.isNull() & scale.isNull() & cur.isNull() & ~t.isin(*BESIDE_WORDS, "hundred")) | (number & a["now"].isNotNull())).alias("bad"),
+            (a["bad"] | (value.isNull() & scale.isNull() & cur.isNull() & ~t.isin(*BESIDE_WORDS, "hundred")) | (number & (a["now"].isNotNull() | (F.length(t) > DIGITS)))).alias("bad"),
             F.when(closes & (a["units"] == 0), a["now"]).otherwise(a["first"]).alias("first"),
         )
 
@@ -95,7 +101,7 @@ def parse_amount(text: Column) -> Column:
         scale = F.when(one, a["scale"]).when(a["units"] >= 1, F.lit(1.0))
         return F.when(~a["bad"] & (value > 0), F.struct(value.alias("value"), scale.alias("scale"), a["currency"].alias("currency")))
 
-    return F.when(F.length(text) <= 200, F.aggregate(tokens, start, step, finish))
+    return F.aggregate(tokens, start, step, finish)
 
 
 def noted_scale(note: Column, dollars: bool = False) -> Column:
@@ -186,9 +192,10 @@ def stated_amounts(cells: DataFrame, fx: DataFrame, s: Settings) -> DataFrame:
 
 
 def with_features(rows: DataFrame) -> DataFrame:
-    """The feature vector: magnitude, notation, source, category of the note, neighbouring fields."""
+    """The feature vector: magnitude, notation, source, the column's own unit, category of the note, neighbours."""
     fits = F.col("fits")
     note = F.coalesce(F.col("noted"), F.lit(0.0))
+    own_position = F.array_position(F.array(*map(F.lit, SCALES)), F.col("default")).cast("int")
     columns = {
         "f_mag": F.col("magnitude"),
         "f_decimals": F.length(F.regexp_extract("cell", r"\.(\d*)", 1)).cast("double"),
@@ -196,7 +203,8 @@ def with_features(rows: DataFrame) -> DataFrame:
         "f_foreign": (F.col("currency") != "INR").cast("double"),
         "f_near": F.col("near") - F.col("magnitude"),
         "f_origin": F.coalesce(F.col("origin_magnitude"), F.lit(-1.0)),
-        "f_default_fits": F.coalesce(F.element_at(fits, F.array_position(F.array(*map(F.lit, SCALES)), F.col("default")).cast("int")), F.lit(False)).cast("double"),
+        "f_column": own_position.cast("double"),
+        "f_column_fits": F.coalesce(F.element_at(fits, own_position), F.lit(False)).cast("double"),
         "f_n_fits": F.size(F.filter(fits, lambda x: x)).cast("double"),
     }
     columns |= {f"f_field{i}": (F.col("source_field") == x).cast("double") for i, x in enumerate(FIELDS)}
@@ -204,63 +212,114 @@ def with_features(rows: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=list(columns), outputCol="features", handleInvalid="keep").transform(rows.withColumns(columns)).drop(*columns)
 
 
-def convert(cells: DataFrame, fx: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """Every cell that states an amount, with ``amount_inr``, ``basis``, ``confidence`` and ``review``.
+def draw(rows: DataFrame, n: int, most: int, seed: int) -> DataFrame:
+    """About ``most`` of the ``n`` rows, by a hash of the cell: all of them where there are no more."""
+    u = F.pmod(F.xxhash64("source_field", "record_id", F.lit(seed)), F.lit(1 << 53)) / float(1 << 53)
+    return rows if n <= most else rows.where(u < most / n)
 
-    Nulls, blanks and texts without an amount give no row; repeated rows are the caller's (they keep their
-    multiplicity). Without any row whose scale is known nothing can be learned: the column's own unit is then
-    proposed with confidence 0, for review. Amounts outside [low, high] under every scale go to review.
+
+def shifted_priors(seen: list, shares: np.ndarray, rounds: int = 30) -> np.ndarray:
+    """For each source field, the ratio by which the shares of scales among unstated cells differ from the stated ones.
+
+    seen: (field number, probability of each scale by the forest) of a sample of unstated cells; shares: scales among
+    the labelled cells, by field. Expectation and maximisation: cells are spread over the scales by the forest's
+    probabilities times the ratio, and the ratio follows from the sums; the stated shares count as SHARE_CELLS cells, so
+    that few cells in doubt do not talk each other into one scale. People state a unit where it is unusual, so the
+    unstated cells have other shares than the stated ones.
+    """
+    ratio = np.ones_like(shares)
+    for f in range(len(shares)):
+        p = np.array([r[1] for r in seen if r[0] == f], dtype=float).reshape(-1, shares.shape[1])
+        if not len(p):
+            continue
+        for _ in range(rounds):
+            post = p * ratio[f]
+            total = post.sum(1, keepdims=True)
+            post = np.divide(post, total, out=np.zeros_like(post), where=total > 0)
+            ratio[f] = (post.sum(0) + SHARE_CELLS * shares[f]) / (post.sum() + SHARE_CELLS) / shares[f]
+    return ratio
+
+
+def predicted(cells: DataFrame, fx: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
+    """(every parsed cell with ``class`` and ``confidence`` of its scale, the held-out cells with ``confidence``, ``hit``).
+
+    The labels are the scales that cells state themselves or by a note, and what states them is hidden from the
+    features. Nothing is labelled by the column's own unit; it is a feature like others.
     """
     stated_rows = durable(stated_amounts(cells, fx, s))
+    position = F.array_position(F.array(*map(F.lit, SCALES)), F.col("known")).cast("int")
+    hidden = with_features(stated_rows.where(position.isNotNull()).withColumn("noted", F.lit(None).cast("double")))
+    labelled = hidden.withColumn("label", (position - 1).cast("double")).select("source_field", "record_id", "features", "label", "fits")
     rows = with_features(stated_rows)
-    position = F.array_position(F.array(*map(F.lit, SCALES)), F.coalesce("known", "default")).cast("int")
-    by_default = F.col("known").isNull() & F.element_at("fits", position)
-    only = F.array_position("fits", F.lit(True)).cast("int")
-    unique = F.size(F.filter("fits", lambda x: x)) == 1
-    label = F.when(F.col("known").isNotNull() | by_default, position - 1).when(unique, only - 1)
-    picked = ["source_field", "record_id", "features", "label", "fits"]
-    labelled = rows.withColumn("label", label.cast("double")).where("label is not null").select(*picked)
-    # Cells whose scale comes from a note are learned from once more as if the note were missing.
-    hidden = with_features(stated_rows.where("known is not null and own is null").withColumn("noted", F.lit(None).cast("double")))
-    labelled = labelled.unionByName(hidden.withColumn("label", label.cast("double")).select(*picked))
-    n = labelled.count()
+    n = stated_rows.where(position.isNotNull()).count()
+    none = rows.withColumns({"class": F.lit(-1), "confidence": F.lit(0.0)})
     if n == 0:
-        return rows.select("source_field", "record_id", "cell", (F.col("value") * F.col("default") * F.col("rate")).alias("amount_inr"), F.lit("column").alias("basis"), F.lit(0.0).alias("confidence"), F.lit(True).alias("review"))
-    share = min(1.0, s.training_rows / n)
-    draw = F.pmod(F.xxhash64("source_field", "record_id", F.lit(s.seed)), F.lit(1_000_000))
-    sample = durable(labelled.where(draw < int(share * 1_000_000)).withColumn("held", F.pmod(F.xxhash64("record_id", F.lit(s.seed + 1)), F.lit(4)) == 0))
+        return none, none.select("confidence", F.lit(0.0).alias("hit")).where("false")
+    held = F.pmod(F.xxhash64("record_id", F.lit(s.seed + 1)), F.lit(4)) == 0
+    sample = durable(draw(labelled, n, s.training_rows, s.seed).withColumn("held", held))
     forest = RandomForestClassifier(numTrees=s.trees, maxDepth=s.depth, featureSubsetStrategy="0.6", seed=s.seed)
-    train = sample.where("not held") if n >= 40 else sample
-    model = forest.fit(train)
-    classes = model.numClasses
-
-    def scored(df: DataFrame) -> DataFrame:
+    model = forest.fit(sample.where("not held") if n >= 40 else sample)
+    k = len(SCALES)
+    counts = sample.groupBy("source_field", "label").count().collect()  # fields times scales
+    shares = np.full((len(FIELDS) + 1, k), 1.0)
+    number = {x: i for i, x in enumerate(FIELDS)}
+    for r in counts:
+        shares[number.get(r["source_field"], len(FIELDS)), int(r["label"])] += r["count"]
+    shares /= shares.sum(1, keepdims=True)
+    field = F.coalesce(F.try_element_at(literal_map(number), F.col("source_field")), F.lit(len(FIELDS)))
+
+    def scored(df: DataFrame, ratio: np.ndarray | None) -> DataFrame:
         raw = vector_to_array(F.col("probability"))
-        masked = F.array(*[F.when(F.get("fits", F.lit(i)), F.get(raw, F.lit(i))).otherwise(F.lit(0.0)) if i < classes else F.lit(0.0) for i in range(len(SCALES))])
-        df = model.transform(df).withColumn("masked", masked)
-        total = F.aggregate("masked", F.lit(0.0), lambda a, x: a + x)
-        top = F.array_max("masked")
-        return df.withColumn("top", F.when(total > 0, top / total).otherwise(F.lit(0.0))).withColumn("class", F.array_position("masked", top).cast("int") - 1)
-
-    held = scored(sample.where("held") if n >= 40 else sample).select((F.col("class") == F.col("label")).cast("double").alias("label"), F.col("top").alias("features"))
-    held = durable(held)
-    calibrated = IsotonicRegression(isotonic=True).fit(held) if held.limit(1).count() else None
-    out = scored(rows.withColumnRenamed("label", "typed_label") if "label" in rows.columns else rows)
-    if calibrated is None:
-        out = out.withColumn("confidence", F.col("top"))
-    else:
-        out = calibrated.setFeaturesCol("top").setPredictionCol("confidence").transform(out.drop("prediction"))
-    guess = F.element_at(F.array(*map(F.lit, SCALES)), F.col("class") + 1)
-    amount = F.col("value") * F.coalesce(F.col("known"), guess) * F.col("rate")
+        df = model.transform(df).drop("prediction", "rawPrediction")
+        fit = lambda i: F.when(F.get("fits", F.lit(i)), F.get(raw, F.lit(i))).otherwise(F.lit(0.0)) if i < model.numClasses else F.lit(0.0)
+        df = df.withColumn("p", F.array(*[fit(i) for i in range(k)])).drop("probability")
+        if ratio is not None:
+            by_field = F.get(F.array(*[F.array(*[F.lit(float(x)) for x in r]) for r in ratio]), field)
+            df = df.withColumn("p", F.zip_with("p", by_field, lambda x, y: x * y))
+        total, top = F.aggregate("p", F.lit(0.0), lambda a, x: a + x), F.array_max("p")
+        return df.withColumn("top", F.when(total > 0, top / total).otherwise(F.lit(0.0))).withColumn("class", F.array_position("p", top).cast("int") - 1)
+
+    open_rows = rows.where("known is null")
+    m = stated_rows.where("known is null").count()
+    seen = scored(draw(open_rows, m, s.training_rows, s.seed), None).select(field.alias("f"), "p").limit(2 * s.training_rows).collect()
+    ratio = shifted_priors([(r["f"], r["p"]) for r in seen], shares)
+    tested = durable(scored(sample.where("held") if n >= 40 else sample, None).select("top", (F.col("class") == F.col("label")).cast("double").alias("hit")))
+    out = scored(rows, ratio)
+    fitted = IsotonicRegression(isotonic=True, labelCol="hit", featuresCol="top", predictionCol="confidence").fit(tested) if tested.limit(1).count() else None
+    if fitted is None:
+        return out.withColumn("confidence", F.col("top")), tested.select(F.col("top").alias("confidence"), "hit")
+    return fitted.transform(out), fitted.transform(tested).select("confidence", "hit")
+
+
+def convert(cells: DataFrame, fx: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """Every cell that states an amount, with ``amount_inr``, ``basis``, ``confidence`` and ``review``.
+
+    Nulls, blanks and texts without an amount give no row; repeated rows are the caller's (they keep their
+    multiplicity). Without any row whose scale is known nothing can be learned: the column's own unit is then
+    proposed with confidence 0, for review. Amounts outside [low, high] under every scale go to review, and so do
+    predictions below ``confident``.
+    """
+    out, _ = predicted(cells, fx, s)
+    guess = F.coalesce(F.get(F.array(*map(F.lit, SCALES)), F.when(F.col("class") >= 0, F.col("class"))), F.col("default"))
     stated = F.col("known").isNotNull()
+    amount = F.col("value") * F.coalesce(F.col("known"), guess) * F.col("rate")
+    doubtful = ~stated & ((F.col("class") < 0) | (F.col("confidence") < s.confident))
     return out.select(
         "source_field", "record_id", "cell", amount.alias("amount_inr"),
         F.when(F.col("own").isNotNull(), "cell").when(stated, "note").otherwise("predicted").alias("basis"),
         F.when(stated, F.lit(1.0)).otherwise(F.col("confidence")).alias("confidence"),
-        F.coalesce(~in_range(amount, s) | (~stated & (F.col("confidence") < s.confident)), F.lit(True)).alias("review"),
+        F.coalesce(~in_range(amount, s) | doubtful, F.lit(True)).alias("review"),
     )
 
 
+def calibration(spark: SparkSession, base: str) -> DataFrame:
+    """Held-out cells by tenth of confidence: their number, mean confidence, share of right scales and the gap."""
+    _, tested = predicted(typed_prices(spark, base), table(spark, base, "fx_rates"), Settings())
+    tenth = F.least(F.floor(F.col("confidence") * 10), F.lit(9)).cast("int")
+    g = tested.groupBy(tenth.alias("tenth")).agg(F.count("*").alias("n_cells"), F.avg("confidence").alias("c"), F.avg("hit").alias("h"))
+    return g.select("tenth", "n_cells", F.round("c", 4).alias("confidence"), F.round("h", 4).alias("accuracy"), F.round(F.abs(F.col("c") - F.col("h")), 4).alias("gap"))
+
+
 def read_amounts(cells: DataFrame, fx: DataFrame, s: Settings = Settings()) -> DataFrame:
     """(source_field, record_id, amount_inr) of the cells whose stated unit, or else the column's own, fits the range.
 
@@ -281,4 +340,4 @@ def p1_review(spark: SparkSession, base: str) -> DataFrame:
     return out.where("review").select("source_field", "record_id", "cell", F.round("amount_inr").cast("bigint").alias("proposed_inr"), F.round("confidence", 6).alias("confidence")).distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p1_review": p1_review}
+QUERIES = {"p1_found": p1_found, "p1_review": p1_review, "p1_calibration": calibration}

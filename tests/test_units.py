@@ -1,7 +1,8 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from crease.operators.units import Settings, convert, noted_scale, parse_amount
+from crease.operators.units import Settings, convert, noted_scale, parse_amount, predicted, shifted_priors
 
 AMOUNTS = [
     ("2,50,00,000", 25_000_000, None, None), ("Rs 30,00,000/-", 3_000_000, None, "INR"), ("₹0.85 Cr", 0.85, 1e7, "INR"), ("2.05cr", 2.05, 1e7, None), ("90 lks", 90, 1e5, None),
@@ -57,3 +58,35 @@ def test_without_known_scales_all_go_to_review(spark):
     cells = spark.createDataFrame([("auction_lots.price_in_rs", 1, 2020, "7", None, None, "o")], "source_field string, record_id bigint, year bigint, cell string, note string, all_cells array<string>, origin string")
     fx = spark.createDataFrame([], "season bigint, currency string, inr_per_unit double")
     assert [r.review for r in convert(cells, fx).collect()] == [True]
+
+
+SCHEMA = "source_field string, record_id bigint, year bigint, cell string, note string, all_cells array<string>, origin string"
+
+
+def test_cells_that_could_be_either_go_to_review(spark):
+    """Stated cells say that 10 to 30 is lakh as often as crore; an unstated 20 must then be reviewed, an unstated 250 not."""
+    cells = [("f.price", i, 2020, str(10 + i % 20), ("in lakh", "in crore")[i // 20 % 2], None, "o") for i in range(800)]
+    cells += [("f.price", 1000 + i, 2020, str(150 + i % 300), "in lakh", None, "o") for i in range(400)]
+    cells += [("f.price", 5000 + i, 2020, "20", None, None, "p") for i in range(20)] + [("squad_state.price_inr_cr", 6000 + i, 2020, "250", None, None, "p") for i in range(20)]
+    fx = spark.createDataFrame([], "season bigint, currency string, inr_per_unit double")
+    got = convert(spark.createDataFrame(cells, SCHEMA), fx, Settings(trees=8, depth=5)).where("basis = 'predicted'").collect()
+    assert {r.review for r in got if r.cell == "20"} == {True}
+    assert {(r.review, r.amount_inr) for r in got if r.cell == "250"} == {(False, 2.5e7)}
+
+
+def test_held_out_cells_are_as_often_right_as_is_said(spark):
+    cells = [("f.price", i, 2020, str(10 + i % 20), ("in lakh", "in crore")[i // 20 % 4 == 0], None, "o") for i in range(2000)]
+    fx = spark.createDataFrame([], "season bigint, currency string, inr_per_unit double")
+    _, tested = predicted(spark.createDataFrame(cells, SCHEMA), fx, Settings(trees=8, depth=5))
+    c, h, n = tested.agg(F.avg("confidence"), F.avg("hit"), F.count("*")).first()
+    assert n > 300 and abs(c - h) < 0.02
+
+
+def test_shares_of_unstated_cells_are_found_again():
+    rng = np.random.default_rng(1)
+    truth = rng.choice(2, 4000, p=[0.9, 0.1])
+    p = np.where(truth[:, None] == np.arange(2), 0.7, 0.3)  # by a model for which both are as likely
+    flip = rng.random(4000) < 0.3
+    p[flip] = p[flip][:, ::-1]
+    ratio = shifted_priors([(0, x) for x in p], np.array([[0.5, 0.5]]))
+    assert abs(0.5 * ratio[0, 0] - 0.9) < 0.08

@@ -204,9 +204,10 @@ def with_features(rows: DataFrame) -> DataFrame:
         "f_near": F.col("near") - F.col("magnitude"),
         "f_origin": F.coalesce(F.col("origin_magnitude"), F.lit(-1.0)),
         "f_column": own_position.cast("double"),
-        "f_column_fits": F.coalesce(F.element_at(fits, own_position), F.lit(False)).cast("double"),
+        "f_column_fits": F.col("column_fits").cast("double"),
         "f_n_fits": F.size(F.filter(fits, lambda x: x)).cast("double"),
     }
+    rows = rows.withColumn("column_fits", F.coalesce(F.element_at(fits, own_position), F.lit(False)))
     columns |= {f"f_field{i}": (F.col("source_field") == x).cast("double") for i, x in enumerate(FIELDS)}
     columns |= {f"f_note{i}": (note == x).cast("double") for i, x in enumerate((0.0, *SCALES))}
     return VectorAssembler(inputCols=list(columns), outputCol="features", handleInvalid="keep").transform(rows.withColumns(columns)).drop(*columns)
@@ -219,10 +220,13 @@ def draw(rows: DataFrame, n: int, most: int, seed: int) -> DataFrame:
 
 
 def shifted_priors(seen: list, shares: np.ndarray, rounds: int = 30) -> np.ndarray:
-    """For each source field, the ratio by which the shares of scales among unstated cells differ from the stated ones.
+    """For each group of cells, the ratio by which the shares of scales among unstated cells differ from the stated ones.
 
-    seen: (field number, probability of each scale by the forest) of a sample of unstated cells; shares: scales among
-    the labelled cells, by field. Expectation and maximisation: cells are spread over the scales by the forest's
+    A group is a source field and whether the column's own unit fits the amount: whoever follows the column leaves the
+    unit out, so that there the unstated cells are others than the stated ones.
+
+    seen: (group number, probability of each scale by the forest) of a sample of unstated cells; shares: scales among
+    the labelled cells, by group. Expectation and maximisation: cells are spread over the scales by the forest's
     probabilities times the ratio, and the ratio follows from the sums; the stated shares count as SHARE_CELLS cells, so
     that few cells in doubt do not talk each other into one scale. People state a unit where it is unusual, so the
     unstated cells have other shares than the stated ones.
@@ -241,7 +245,8 @@ def shifted_priors(seen: list, shares: np.ndarray, rounds: int = 30) -> np.ndarr
 
 
 def predicted(cells: DataFrame, fx: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
-    """(every parsed cell with ``class`` and ``confidence`` of its scale, the held-out cells with ``confidence``, ``hit``).
+    """(every parsed cell with ``class`` and ``confidence`` of its scale; the held-out cells with ``confidence``, ``hit``
+    and ``weight``).
 
     The labels are the scales that cells state themselves or by a note, and what states them is hidden from the
     features. Nothing is labelled by the column's own unit; it is a feature like others.
@@ -249,24 +254,23 @@ def predicted(cells: DataFrame, fx: DataFrame, s: Settings) -> tuple[DataFrame,
     stated_rows = durable(stated_amounts(cells, fx, s))
     position = F.array_position(F.array(*map(F.lit, SCALES)), F.col("known")).cast("int")
     hidden = with_features(stated_rows.where(position.isNotNull()).withColumn("noted", F.lit(None).cast("double")))
-    labelled = hidden.withColumn("label", (position - 1).cast("double")).select("source_field", "record_id", "features", "label", "fits")
+    labelled = hidden.withColumn("label", (position - 1).cast("double")).select("source_field", "record_id", "features", "label", "fits", "column_fits")
     rows = with_features(stated_rows)
     n = stated_rows.where(position.isNotNull()).count()
     none = rows.withColumns({"class": F.lit(-1), "confidence": F.lit(0.0)})
     if n == 0:
-        return none, none.select("confidence", F.lit(0.0).alias("hit")).where("false")
+        return none, none.select("confidence", F.lit(0.0).alias("hit"), F.lit(1.0).alias("weight")).where("false")
     held = F.pmod(F.xxhash64("record_id", F.lit(s.seed + 1)), F.lit(4)) == 0
     sample = durable(draw(labelled, n, s.training_rows, s.seed).withColumn("held", held))
     forest = RandomForestClassifier(numTrees=s.trees, maxDepth=s.depth, featureSubsetStrategy="0.6", seed=s.seed)
     model = forest.fit(sample.where("not held") if n >= 40 else sample)
     k = len(SCALES)
-    counts = sample.groupBy("source_field", "label").count().collect()  # fields times scales
-    shares = np.full((len(FIELDS) + 1, k), 1.0)
-    number = {x: i for i, x in enumerate(FIELDS)}
-    for r in counts:
-        shares[number.get(r["source_field"], len(FIELDS)), int(r["label"])] += r["count"]
+    number = {x: 2 * i for i, x in enumerate(FIELDS)}
+    field = F.coalesce(F.try_element_at(literal_map(number), F.col("source_field")), F.lit(2 * len(FIELDS))) + F.col("column_fits").cast("int")
+    shares = np.full((2 * len(FIELDS) + 2, k), 1.0)
+    for r in sample.groupBy(field.alias("f"), "label").count().collect():  # fields times scales
+        shares[r["f"], int(r["label"])] += r["count"]
     shares /= shares.sum(1, keepdims=True)
-    field = F.coalesce(F.try_element_at(literal_map(number), F.col("source_field")), F.lit(len(FIELDS)))
 
     def scored(df: DataFrame, ratio: np.ndarray | None) -> DataFrame:
         raw = vector_to_array(F.col("probability"))
@@ -283,12 +287,15 @@ def predicted(cells: DataFrame, fx: DataFrame, s: Settings) -> tuple[DataFrame,
     m = stated_rows.where("known is null").count()
     seen = scored(draw(open_rows, m, s.training_rows, s.seed), None).select(field.alias("f"), "p").limit(2 * s.training_rows).collect()
     ratio = shifted_priors([(r["f"], r["p"]) for r in seen], shares)
-    tested = durable(scored(sample.where("held") if n >= 40 else sample, None).select("top", (F.col("class") == F.col("label")).cast("double").alias("hit")))
+    # The held-out cells stand for the unstated ones: each weighs as much more as its scale is more common there.
+    by_label = F.get(F.get(F.array(*[F.array(*[F.lit(float(x)) for x in r]) for r in ratio]), field), F.col("label").cast("int"))
+    tested = scored(sample.where("held") if n >= 40 else sample, ratio)
+    tested = durable(tested.select("top", (F.col("class") == F.col("label")).cast("double").alias("hit"), by_label.alias("weight")))
     out = scored(rows, ratio)
-    fitted = IsotonicRegression(isotonic=True, labelCol="hit", featuresCol="top", predictionCol="confidence").fit(tested) if tested.limit(1).count() else None
-    if fitted is None:
-        return out.withColumn("confidence", F.col("top")), tested.select(F.col("top").alias("confidence"), "hit")
-    return fitted.transform(out), fitted.transform(tested).select("confidence", "hit")
+    if tested.limit(1).count() == 0:
+        return out.withColumn("confidence", F.col("top")), tested.select(F.col("top").alias("confidence"), "hit", "weight")
+    fitted = IsotonicRegression(isotonic=True, labelCol="hit", featuresCol="top", predictionCol="confidence", weightCol="weight").fit(tested)
+    return fitted.transform(out), fitted.transform(tested).select("confidence", "hit", "weight")
 
 
 def convert(cells: DataFrame, fx: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -313,10 +320,13 @@ def convert(cells: DataFrame, fx: DataFrame, s: Settings = Settings()) -> DataFr
 
 
 def calibration(spark: SparkSession, base: str) -> DataFrame:
-    """Held-out cells by tenth of confidence: their number, mean confidence, share of right scales and the gap."""
+    """Held-out cells by tenth of confidence: their number, and weighted as the unstated cells are, the mean confidence, the
+    share of right scales and the gap between the two."""
     _, tested = predicted(typed_prices(spark, base), table(spark, base, "fx_rates"), Settings())
     tenth = F.least(F.floor(F.col("confidence") * 10), F.lit(9)).cast("int")
-    g = tested.groupBy(tenth.alias("tenth")).agg(F.count("*").alias("n_cells"), F.avg("confidence").alias("c"), F.avg("hit").alias("h"))
+    g = tested.groupBy(tenth.alias("tenth")).agg(
+        F.count("*").alias("n_cells"), (F.sum(F.col("confidence") * F.col("weight")) / F.sum("weight")).alias("c"), (F.sum(F.col("hit") * F.col("weight")) / F.sum("weight")).alias("h")
+    )
     return g.select("tenth", "n_cells", F.round("c", 4).alias("confidence"), F.round("h", 4).alias("accuracy"), F.round(F.abs(F.col("c") - F.col("h")), 4).alias("gap"))
 
 

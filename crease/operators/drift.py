@@ -32,8 +32,9 @@ ATTRIBUTE_HEADERS = {
     "age": ("age",), "hand": ("batting hand",), "remarks": ("remarks",), "lot": ("lot no",), "set": ("set no",),
     "rtm": ("rtm used",), "league_matches": ("league matches",), "agency": ("agency",), "session": ("session",),
 }
-#: Two fields are alike from this likeness on; weights of shared words of the names and of flags in a profile.
-ALIKE, NAME_WEIGHT, FLAG_WEIGHT = 0.2, 0.3, 0.3
+#: Two fields are alike from this likeness on; weights of shared words of the names, and of flags and small numbers (below
+#: 10^(SMALL/3)) in a profile.
+ALIKE, NAME_WEIGHT, COMMON_WEIGHT, SMALL = 0.2, 0.3, 0.3, 12
 NUMBER, YES, NO = r"^(\d+(?:\.\d+)?)[a-z]{0,3}$", ("y", "yes", "true"), ("n", "no", "false")
 HEADER_ATTRIBUTE = {h: a for a, headers in ATTRIBUTE_HEADERS.items() for h in headers}
 
@@ -90,12 +91,14 @@ def signatures(json_type: Column, value: Column) -> Column:
 
 
 def profiles(members: DataFrame) -> DataFrame:
-    """(path, signature, p): the share of each signature among those of a path over all files; flags are discounted,
-    as they tell little of what they are about."""
+    """(path, signature, p): the share of each signature among those of a path over all files; flags and small numbers are
+    discounted, as they tell little of what they are about."""
     each = members.where("value is not null").select("path", F.explode(signatures(F.col("json_type"), F.col("value"))).alias("signature"))
     counted = each.groupBy("path", "signature").agg(F.count("*").alias("n"))
     total = counted.groupBy("path").agg(F.sum("n").alias("total"))
-    weight = F.when(F.col("signature").startswith("b:"), FLAG_WEIGHT).otherwise(1.0)
+    small = F.substring("signature", 3, 9).try_cast("int") < SMALL
+    common = F.col("signature").startswith("b:") | (F.col("signature").startswith("n:") & F.coalesce(small, F.lit(False)))
+    weight = F.when(common, COMMON_WEIGHT).otherwise(1.0)
     return counted.join(total, "path").select("path", "signature", (weight * F.col("n") / F.col("total")).alias("p"))
 
 
@@ -257,7 +260,7 @@ PROFILE_SQL = """
    when t in ('y', 'yes', 'true') then ['b:y'] when t in ('n', 'no', 'false') then ['b:n']
    else list_transform(regexp_extract_all(t, '[a-z]+'), lambda w: 't:' || w[1:3]) end) signature from nu),
  pc as (select path, signature, count(*) n from sg group by all),
- pr as (select path, signature, (case when signature like 'b:%' then 0.3::double else 1.0::double end) * n / sum(n) over (partition by path) p from pc)"""
+ pr as (select path, signature, (case when signature like 'b:%' or (signature like 'n:%' and try_cast(signature[3:] as integer) < 12) then 0.3::double else 1.0::double end) * n / sum(n) over (partition by path) p from pc)"""
 WORDS_SQL = "list_distinct(regexp_extract_all(lower(regexp_replace({0}, '([a-z])([A-Z])', '\\1 \\2', 'g')), '[a-z0-9]+'))".format
 SQL = {
     "p3_paths": f"with {MEMBERS_SQL} select feed_id, season, path, json_type, count(*) n_values from me group by all",

@@ -10,12 +10,31 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from crease.functions.prefix import dense_ranks
 from crease.functions.scalars import compact_key, initials_key, literal_map, name_tokens, role_name, season_years, strip_suffix_key, surname_initial, venue_key
 from crease.operators.facts import matches
 from crease.sources.tables import table
 
-# League codes by category; any other code is domestic.
-CATEGORIES = {"ipl": "Franchise", "bbl": "Franchise", "cpl": "Franchise", "cplx": "Franchise", "psx": "Franchise", "mlc": "Franchise", "mlcx": "Franchise", "t20i": "International"}
+# Words of a competition's name, in the order in which categories are tried; any other name is domestic.
+CATEGORY_WORDS = (
+    ("IPL", ("indian premier league", "ipl")),
+    ("Overseas Franchise", ("big bash", "bbl", "caribbean premier league", "cpl", "pakistan super league", "psl", "sa20", "ilt20", "major league cricket", "mlc", "the hundred", "bpl",
+                            "bangladesh premier league", "lanka premier league", "lpl", "super smash", "t20 blast")),
+    ("Domestic", ("syed mushtaq ali", "ranji", "vijay hazare", "deodhar", "duleep", "sheffield shield", "marsh cup", "csa t20", "plunket shield")),
+    ("International", ("t20i", "odi", "test", "world cup", "asia cup", "champions trophy", "international")),
+)
+# Former keys of grounds and their present ones.
+LINEAGE = {
+    "feroz shah kotla": "arun jaitley stadium", "feroz shah kotla ground": "arun jaitley stadium",
+    "sardar patel stadium": "narendra modi stadium", "sardar patel stadium motera": "narendra modi stadium", "motera stadium": "narendra modi stadium",
+    "punjab cricket association stadium": "punjab cricket association is bindra stadium", "punjab cricket association stadium mohali": "punjab cricket association is bindra stadium",
+    "is bindra stadium": "punjab cricket association is bindra stadium", "rajiv gandhi international stadium uppal": "rajiv gandhi international stadium",
+    "daren sammy national cricket stadium gros islet st lucia": "daren sammy national cricket stadium gros islet", "sir vivian richards stadium north sound antigua": "sir vivian richards stadium north sound",
+    "dr dy patil sports academy mumbai": "dr dy patil sports academy", "maharaja yadavindra singh international cricket stadium mullanpur": "maharaja yadavindra singh international cricket stadium new chandigarh",
+    "queen's park oval port of spain trinidad": "queen's park oval port of spain", "gmhba stadium south geelong victoria": "simonds stadium south geelong victoria",
+    "brian lara stadium tarouba trinidad": "brian lara stadium tarouba", "kensington oval bridgetown barbados": "kensington oval bridgetown", "ma chidambaram stadium chepauk": "ma chidambaram stadium",
+    "providence stadium guyana": "providence stadium", "sabina park kingston jamaica": "sabina park kingston", "warner park basseterre st kitts": "warner park basseterre",
+}
 
 #: Parts of a block of candidates, and partitions they are spread over.
 SALTS, SPREAD = 8, 48
@@ -36,28 +55,44 @@ def participation_summary(spark: SparkSession, base: str) -> DataFrame:
     return participation(spark, base).where("player is not null").groupBy("player", "competition").agg(F.count_distinct("match_id").alias("n_matches"), F.count_distinct("team").alias("n_teams"), F.min("match_date").alias("first_date"), F.max("match_date").alias("last_date"), F.array_join(F.array_sort(F.collect_set("season")), ",").alias("seasons"))
 
 
+def category(name: Column) -> Column:
+    """The category of a competition by the first of the words that its name holds; NULL is Other, any other Domestic."""
+    low = F.lower(F.trim(name))
+    out = F.when(name.isNull(), "Other")
+    for label, words in CATEGORY_WORDS:
+        holds = F.lit(False)
+        for w in words:
+            holds = holds | low.contains(w)
+        out = out.when(holds, label)
+    return out.otherwise("Domestic")
+
+
 def competitions(spark: SparkSession, base: str) -> DataFrame:
     m = matches(spark, base)
     start, end = season_years(F.col("season"))
-    code = F.coalesce(F.try_element_at(literal_map(CATEGORIES), F.lower("competition")), F.lit("Domestic"))
-    return m.groupBy("competition", "season").agg(F.count("*").alias("n_matches"), F.min("match_date").alias("first_date"), F.max("match_date").alias("last_date")).select("competition", "season", "n_matches", start.alias("start_year"), end.alias("end_year"), F.when(F.col("competition").isNull(), "Other").otherwise(code).alias("category"), "first_date", "last_date")
+    return m.groupBy("competition", "season").agg(F.count("*").alias("n_matches"), F.min("match_date").alias("first_date"), F.max("match_date").alias("last_date")).select("competition", "season", "n_matches", start.alias("start_year"), end.alias("end_year"), category(F.col("competition")).alias("category"), "first_date", "last_date")
 
 
 def venues(spark: SparkSession, base: str) -> DataFrame:
-    """Grounds by their key: the most frequent spelling is canonical (ties by name); ids follow the key's order.
+    """Grounds by their present key: the most frequent spelling is canonical (ties by name); ids follow the key's order.
 
-    The ids are ranks over the distinct keys, a table of grounds and not of matches.
+    Former keys become present ones first. Matches without a ground are VEN_UNKNOWN.
     """
     m = table(spark, base, "matches").select("match_id", "venue", "city").dropDuplicates(["match_id"])
-    m = m.where(F.trim("venue") != "").withColumn("key", strip_suffix_key(venue_key(F.col("venue")), F.coalesce(venue_key(F.col("city")), F.lit(""))))
+    blank = F.coalesce(F.trim("venue"), F.lit("")) == ""
+    key = strip_suffix_key(venue_key(F.col("venue")), F.coalesce(venue_key(F.col("city")), F.lit("")))
+    m = m.withColumn("key", F.when(~blank, F.coalesce(F.try_element_at(literal_map(LINEAGE), key), key)))
+    m = m.withColumn("venue", F.when(~blank, F.col("venue")))
     spelt = m.groupBy("key", "venue").agg(F.count("*").alias("n"))
     g = spelt.groupBy("key").agg(F.min_by("venue", F.struct((-F.col("n")).alias("n"), "venue")).alias("canonical"), F.sum("n").alias("n_matches"), F.count("*").alias("n_variants"))
-    return g.withColumn("venue_id", F.format_string("VEN_%04d", F.dense_rank().over(Window.orderBy("key")))).select("venue_id", "key", "canonical", "n_matches", "n_variants")
+    ranked = dense_ranks(g, "key", "rank")
+    venue_id = F.when(F.col("key").isNull(), "VEN_UNKNOWN").otherwise(F.format_string("VEN_%04d", F.col("rank")))
+    return ranked.select(venue_id.alias("venue_id"), F.coalesce("key", F.lit("")).alias("key"), F.coalesce("canonical", F.lit("")).alias("canonical"), "n_matches", F.when(F.col("key").isNull(), 0).otherwise(F.col("n_variants")).cast("bigint").alias("n_variants"))
 
 
 def similar_venues(spark: SparkSession, base: str, least: float = 0.8) -> DataFrame:
     """Pairs of grounds with similar keys for review, as if every ground were compared with every other."""
-    return similar_keys(venues(spark, base).select("venue_id", "key"), least)
+    return similar_keys(venues(spark, base).where("key <> ''").select("venue_id", "key"), least)
 
 
 def similar_keys(v: DataFrame, least: float) -> DataFrame:
@@ -221,20 +256,27 @@ PARTICIPATION_SQL = """mm as (select distinct match_id, competition, season, mat
 OBS_SQL = """d as (select distinct delivery_key, batter, bowler, non_striker from deliveries), l as (select distinct lot_id, name_raw from auction_lots),
  u as (select 'batter' source, batter as name from d union all select 'bowler', bowler from d union all select 'non_striker', non_striker from d union all select 'lots', name_raw from l),
  ob as (select trim(name) as name, count(*) filter (source = 'batter') batter, count(*) filter (source = 'bowler') bowler, count(*) filter (source = 'non_striker') non_striker, count(*) filter (source = 'lots') lots from u where trim(name) <> '' group by 1)"""
+QUOTED = lambda x: "'" + x.replace("'", "''") + "'"
+LINEAGE_SQL = ", ".join(f"({QUOTED(k)}, {QUOTED(v)})" for k, v in LINEAGE.items())
+CATEGORY_SQL = "case when competition is null then 'Other' " + " ".join(
+    f"when {' or '.join(f'contains(lower(trim(competition)), {QUOTED(w)})' for w in words)} then '{label}'" for label, words in CATEGORY_WORDS
+) + " else 'Domestic' end"
 SQL = {
     "s20_participation": f"with {PARTICIPATION_SQL} select * from pa",
     "f32_participation_summary": f"with {PARTICIPATION_SQL} select player, competition, count(distinct match_id) n_matches, count(distinct team) n_teams, min(match_date) first_date, max(match_date) last_date, string_agg(distinct season, ',' order by season) seasons from pa where player is not null group by 1, 2",
-    "f30_competitions": """with mm as (select distinct match_id, competition, season, match_date from matches),
+    "f30_competitions": f"""with mm as (select distinct match_id, competition, season, match_date from matches),
         g as (select competition, season, count(*) n_matches, min(match_date) first_date, max(match_date) last_date from mm group by 1, 2)
-        select competition, season, n_matches, try_cast(nullif(regexp_extract(season, '((?:19|20)[0-9]{2})', 1), '') as integer) start_year,
-        case when regexp_matches(season, '^[0-9]{4}[/-][0-9]{2}$') then try_cast(season[1:2] || season[6:7] as integer) when regexp_matches(season, '^[0-9]{4}[/-][0-9]{4}$') then try_cast(season[6:9] as integer)
-        else try_cast(nullif(regexp_extract(season, '((?:19|20)[0-9]{2})', 1), '') as integer) end end_year,
-        case when competition is null then 'Other' when lower(competition) in ('ipl', 'bbl', 'cpl', 'cplx', 'psx', 'mlc', 'mlcx') then 'Franchise' when lower(competition) = 't20i' then 'International' else 'Domestic' end category, first_date, last_date from g""",
-    "f31_venues": """with mm as (select distinct match_id, venue, city from matches), kv as (select *, trim(regexp_replace(regexp_replace(replace(replace(lower(venue), '&', ' and '), '-', ' '), '[.,]', ' ', 'g'), '\\s+', ' ', 'g')) k,
-        coalesce(trim(regexp_replace(regexp_replace(replace(replace(lower(city), '&', ' and '), '-', ' '), '[.,]', ' ', 'g'), '\\s+', ' ', 'g')), '') c from mm where trim(venue) <> ''),
-        ky as (select *, case when length(c) > 0 and suffix(k, ' ' || c) and length(trim(substr(k, 1, greatest(length(k) - length(c), 0)))) > 0 then trim(substr(k, 1, greatest(length(k) - length(c), 0))) else k end "key" from kv),
+        select competition, season, n_matches, try_cast(nullif(regexp_extract(season, '((?:19|20)[0-9][0-9])', 1), '') as integer) start_year,
+        case when regexp_matches(season, '^[0-9][0-9][0-9][0-9][/-][0-9][0-9]$') then try_cast(season[1:2] || season[6:7] as integer) when regexp_matches(season, '^[0-9][0-9][0-9][0-9][/-][0-9][0-9][0-9][0-9]$') then try_cast(season[6:9] as integer)
+        else try_cast(nullif(regexp_extract(season, '((?:19|20)[0-9][0-9])', 1), '') as integer) end end_year,
+        {CATEGORY_SQL} category, first_date, last_date from g""",
+    "f31_venues": f"""with mm as (select distinct match_id, venue, city from matches), ln(f, t) as (values {LINEAGE_SQL}), kv as (select *, trim(regexp_replace(regexp_replace(replace(replace(lower(venue), '&', ' and '), '-', ' '), '[.,]', ' ', 'g'), '\\s+', ' ', 'g')) k,
+        coalesce(trim(regexp_replace(regexp_replace(replace(replace(lower(city), '&', ' and '), '-', ' '), '[.,]', ' ', 'g'), '\\s+', ' ', 'g')), '') c from mm),
+        ks as (select match_id, venue, case when length(c) > 0 and suffix(k, ' ' || c) and length(trim(substr(k, 1, greatest(length(k) - length(c), 0)))) > 0 then trim(substr(k, 1, greatest(length(k) - length(c), 0))) else k end s from kv),
+        ky as (select case when trim(venue) <> '' then coalesce(t, s) end "key", case when trim(venue) <> '' then venue end venue from ks left join ln on ln.f = s),
         sp as (select "key", venue, count(*) n from ky group by 1, 2), g as (select "key", min_by(venue, (-n, venue)) canonical, sum(n)::bigint n_matches, count(*) n_variants from sp group by 1)
-        select 'VEN_' || lpad((dense_rank() over (order by "key"))::varchar, 4, '0') venue_id, "key", canonical, n_matches, n_variants from g""",
+        select case when "key" is null then 'VEN_UNKNOWN' else 'VEN_' || lpad((dense_rank() over (order by "key" nulls last))::varchar, 4, '0') end venue_id, coalesce("key", '') "key", coalesce(canonical, '') canonical, n_matches,
+        case when "key" is null then 0 else n_variants end n_variants from g""",
     "e01_observations": f"with {OBS_SQL} select * from ob",
     "e05_identity_audit": f"""with {OBS_SQL}, tk as (select name, regexp_extract_all(lower(name), '[a-z]+') t from ob), rt as (select distinct player_id, player_name, regexp_extract_all(lower(player_name), '[a-z]+') t from people_register),
         nk as (select name, regexp_replace(lower(name), '[^a-z0-9]', '', 'g') k1, case when len(t) >= 2 then list_aggregate(list_transform(t[1:len(t) - 1], lambda x: x[1:1]), 'string_agg', '') || ':' || t[-1] end k2, case when len(t) >= 2 then t[-1] || ':' || t[1][1:1] end k3 from tk),

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from crease.functions.prefix import dense_ranks
 from crease.functions.scalars import CENSORED_KINDS, safe_div
 from crease.operators.facts import fact, long, pct, population, sql, with_scopes
 
@@ -124,7 +125,7 @@ def consistency(spark: SparkSession, base: str, min_innings: int = 3) -> DataFra
     return g.select(*keys, "innings_batted", "matches_played", *[F.round(F.col("q")[i], 4).alias(p) for i, p in enumerate(("p10", "p25", "p50", "p75", "p90"))], F.round("failure", 4).alias("failure_rate"), F.round("impact", 4).alias("impact_rate"), badge(F.col("innings_batted") >= min_innings, F.col("failure"), F.col("impact")).alias("badge"))
 
 
-def batter_distribution(spark: SparkSession, base: str, min_innings: int = 4) -> DataFrame:
+def batter_distribution(spark: SparkSession, base: str, min_innings: int = 2) -> DataFrame:
     i = innings(scoped(spark, base).where("scope = 'all'"))
     n, mean = F.count("*"), F.avg("runs")
     q = F.percentile("runs", F.array(*[F.lit(x) for x in (0.1, 0.5, 0.9)]))
@@ -173,7 +174,83 @@ def venue_conditional(spark: SparkSession, base: str, min_balls: int = 10) -> Da
     return g.where(F.col("balls") >= min_balls).withColumn("strike_rate", pct(F.col("runs"), F.col("balls")))
 
 
+def batting_store(spark: SparkSession, base: str) -> DataFrame:
+    """Career batting by phase over all rows of the fact; a divisor of 0 counts as 1, rates are rounded half to even."""
+    g = fact(spark, base).groupBy(F.col("batter").alias("player"), "phase").agg(
+        long(F.col("batter_runs")).alias("runs"), long(F.col("legal_delivery")).alias("balls"), long(F.col("is_four")).alias("fours"), long(F.col("is_six")).alias("sixes"), long(F.col("is_dot")).alias("dots"),
+    )
+    share = lambda c: F.bround(100 * c / F.when(F.col("balls") == 0, 1).otherwise(F.col("balls")), 2)
+    return g.withColumns({"strike_rate": share(F.col("runs")), "boundary_pct": share(F.col("fours") + F.col("sixes")), "dot_pct": share(F.col("dots"))})
+
+
+def bowling_store(spark: SparkSession, base: str) -> DataFrame:
+    """Career bowling by phase: all runs (byes too), every wicket, economy, and balls a wicket (NULL without one)."""
+    g = fact(spark, base).groupBy(F.col("bowler").alias("player"), "phase").agg(long(F.col("total_runs")).alias("runs"), long(F.col("legal_delivery")).alias("balls"), long(F.col("is_wicket")).alias("wickets"))
+    b = F.col("balls")
+    return g.withColumns({
+        "economy": F.bround(6 * F.col("runs") / F.when(b == 0, 1).otherwise(b), 2), "strike_rate": F.bround(safe_div(b, F.col("wickets"), None), 2),
+    })
+
+
+def bowler_seasons(spark: SparkSession, base: str, min_overs: float = 2.0) -> DataFrame:
+    """Seasons of bowlers with enough overs in the all-league scope: wickets, economy, balls a wicket."""
+    b = bowling(spark, base).where("scope = 'all'").where(F.col("overs") >= min_overs)
+    return b.select("player", "start_year", "overs", "runs", "wickets", "economy", "strike_rate")
+
+
+def player_matches(spark: SparkSession, base: str) -> DataFrame:
+    """What a player did in a match: runs, balls and whether it batted, balls bowled, runs given and credited wickets."""
+    rows = population(fact(spark, base))
+    keys = ["match_id", "player", "start_year"]
+    bat = rows.withColumn("player", F.col("batter")).groupBy(*keys).agg(long(F.col("batter_runs")).alias("runs"), long(F.col("legal_delivery")).alias("balls_faced"))
+    bowl = rows.withColumn("player", F.col("bowler")).groupBy(*keys).agg(long(F.col("bowler_ball")).alias("balls_bowled"), long(F.col("conceded")).alias("conceded"), long(F.col("is_credited")).alias("wickets"))
+    both = bat.withColumn("batted", F.lit(True)).join(bowl.withColumn("bowled", F.lit(True)), keys, "full")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    no = lambda c: F.coalesce(c, F.lit(False)).alias(c)
+    return both.select(*keys, no("batted"), zero("runs"), zero("balls_faced"), no("bowled"), zero("balls_bowled"), zero("conceded"), zero("wickets"))
+
+
+def venue_bowling(spark: SparkSession, base: str, min_balls: int = 10) -> DataFrame:
+    """A bowler's economy at each ground, with enough balls there."""
+    rows = population(fact(spark, base), gender=None).where("venue is not null")
+    g = rows.groupBy("venue", F.col("bowler").alias("player")).agg(long(F.col("bowler_ball")).alias("balls"), long(F.col("conceded")).alias("conceded"))
+    return g.where(F.col("balls") >= min_balls).withColumn("economy", F.round(6 * F.col("conceded") / F.col("balls"), 4))
+
+
+def expensive_overs(spark: SparkSession, base: str, runs: int = 12) -> DataFrame:
+    """Of each bowler's overs, the share that cost ``runs`` or more, and the share of dot balls."""
+    rows = scoped(spark, base).where("scope = 'all'")
+    overs = rows.groupBy(F.col("bowler").alias("player"), "match_id", "innings_number", "over_number").agg(long(F.col("conceded")).alias("r"), long(F.col("bowler_ball")).alias("b"), long(F.col("is_dot")).alias("d"))
+    g = overs.groupBy("player").agg(F.count("*").alias("n_overs"), F.count_if(F.col("r") >= runs).alias("n_expensive"), F.sum("d").alias("d"), F.sum("b").alias("b"))
+    return g.select("player", "n_overs", "n_expensive", F.round(F.col("n_expensive") / F.col("n_overs"), 4).alias("expensive_rate"), pct(F.col("d"), F.col("b")).alias("dot_pct"))
+
+
+def sorted_seasons(spark: SparkSession, base: str) -> DataFrame:
+    """Season rows of the main scope with their place in the order: runs descending, average descending with NULL last,
+    name ascending. The order is a range sort of the whole; the place comes from the ranks, not from one task."""
+    rows = batting(spark, base).where("scope = 'all'")
+    key = F.concat_ws("|", F.lpad((F.lit(10**12) - F.col("runs")).cast("string"), 13, "0"), F.lpad(F.coalesce((F.lit(10**9) - F.round(F.col("average") * 10_000)).cast("bigint"), F.lit(10**12)).cast("string"), 13, "0"), F.col("player"), F.col("start_year").cast("string"))
+    placed = dense_ranks(rows.withColumn("_key", key), "_key", "place").drop("_key")
+    return placed.select("place", "player", "start_year", "runs", "average").orderBy("place")
+
+
+def ordered_leagues(spark: SparkSession, base: str) -> DataFrame:
+    """Leagues by run rate, highest first (ties by name): a report of few rows, sorted for people."""
+    rows = population(fact(spark, base), gender=None).groupBy("competition").agg(long(F.col("total_runs")).alias("r"), long(F.col("legal_delivery")).alias("b"))
+    rated = rows.select("competition", F.round(6 * safe_div(F.col("r"), F.col("b")), 4).alias("run_rate"))
+    return rated.orderBy(F.desc_nulls_last("run_rate"), F.asc_nulls_last("competition"))
+
+
+def close_percentiles(spark: SparkSession, base: str, tolerance: float = 1e-9) -> DataFrame:
+    """Whether the median of scores equals the 50th percentile within a tolerance, by player (it must everywhere)."""
+    i = innings(scoped(spark, base).where("scope = 'all'"))
+    g = i.groupBy("player").agg(F.median("runs").alias("a"), F.percentile("runs", F.lit(0.5)).alias("b"), F.avg("runs").alias("m"))
+    return g.select("player", (F.abs(F.col("a") - F.col("b")) < tolerance).alias("is_equal"), F.round(F.greatest(F.lit(0.0), F.least(F.col("m") / 50, F.lit(1.0))), 6).alias("clipped_mean"))
+
+
 QUERIES = {
+    "f03_batting_store": batting_store, "f04_bowling_store": bowling_store, "f13_bowler_seasons": bowler_seasons, "f15_player_matches": player_matches, "f26_venue_bowling": venue_bowling,
+    "f12_expensive_overs": expensive_overs, "k01_sorted": sorted_seasons, "k04_leagues": ordered_leagues, "n07_tolerance": close_percentiles,
     "f05_innings": lambda s, b: innings(scoped(s, b)), "f06_season_batting": batting, "f08_acceleration": acceleration, "f10_season_bowling": bowling, "w03_spells": spells, "f11_spell_variance": spell_variance,
     "f12_bowler_distribution": bowler_distribution, "f14_phases": phases, "f16_consistency": consistency, "f17_batter_distribution": batter_distribution, "m01_reach": reach, "m03_conversion": conversion,
     "k03_leaderboards": leaderboards, "f26_venue_conditional": venue_conditional,
@@ -226,7 +303,7 @@ SQL = {
         when i >= 0.20 then 'Boom-or-Bust' else 'Moderate' end badge from g"""),
     "f17_batter_distribution": sql(f""", {INNINGS_SQL}, mo as (select player, avg(runs) mu, stddev_pop(runs) sd from inn where scope = 'all' group by 1)
         select player, count(*) n_innings, sum(runs)::bigint runs, sum(out)::bigint outs, round(avg(runs), 4) mean_score, round(quantile_cont(runs, 0.1), 4) p10, round(quantile_cont(runs, 0.5), 4) median_score, round(quantile_cont(runs, 0.9), 4) p90,
-        round(case when max(sd) > 0 then avg(power((runs - mu) / nullif(sd, 0), 3)) else 0 end, 5) skewness, count(*) filter (runs = 0 and out = 1) ducks from inn join mo using (player) where scope = 'all' group by 1 having count(*) >= 4"""),
+        round(case when count(*) < 3 then null when max(sd) > 0 then avg(power((runs - mu) / nullif(sd, 0), 3)) else 0 end, 5) skewness, count(*) filter (runs = 0 and out = 1) ducks from inn join mo using (player) where scope = 'all' group by 1 having count(*) >= 2"""),
     "m01_reach": sql(f""", {INNINGS_SQL}, at0 as (select player, runs, sum(out) d, count(*) c from inn where scope = 'all' group by 1, 2), at1 as (select *, sum(c) over (partition by player order by runs desc rows unbounded preceding) n from at0),
         mk as (select *, unnest([20, 30, 50]) mark from at1)
         select player, mark, sum(c)::bigint n_innings, round(sum(case when runs >= mark then c else 0 end) / sum(c), 6) naive, round(sum(case when runs >= mark then c else 0 end) / nullif(sum(case when runs >= mark then c else d end), 0), 6) complete_case,
@@ -240,3 +317,22 @@ SQL = {
     "f26_venue_conditional": sql("""select venue, batter player, sum(legal_delivery)::bigint balls, sum(batter_runs)::bigint runs, round(100 * (sum(batter_runs) / sum(legal_delivery)), 4) strike_rate from fact
         where start_year between 2018 and 2026 and not coalesce(is_super_over, false) and venue is not null group by 1, 2 having sum(legal_delivery) >= 10"""),
 }
+POP_ALL = "start_year between 2018 and 2026 and not coalesce(is_super_over, false)"
+SQL |= {
+    "f03_batting_store": sql("""select batter player, phase, sum(batter_runs)::bigint runs, sum(legal_delivery)::bigint balls, sum(is_four)::bigint fours, sum(is_six)::bigint sixes, sum(is_dot)::bigint dots,
+        round_even(100 * sum(batter_runs) / greatest(sum(legal_delivery), 1), 2) strike_rate, round_even(100 * sum(is_four + is_six) / greatest(sum(legal_delivery), 1), 2) boundary_pct,
+        round_even(100 * sum(is_dot) / greatest(sum(legal_delivery), 1), 2) dot_pct from fact group by all"""),
+    "f04_bowling_store": sql("""select bowler player, phase, sum(total_runs)::bigint runs, sum(legal_delivery)::bigint balls, sum(is_wicket)::bigint wickets, round_even(6 * sum(total_runs) / greatest(sum(legal_delivery), 1), 2) economy,
+        round_even(sum(legal_delivery) / nullif(sum(is_wicket), 0), 2) strike_rate from fact group by all"""),
+    "f13_bowler_seasons": f"select player, start_year, overs, runs, wickets, economy, strike_rate from ({SQL['f10_season_bowling']}) where scope = 'all' and overs >= 2",
+    "f15_player_matches": sql(""", a as (select match_id, batter player, start_year, sum(batter_runs)::bigint runs, sum(legal_delivery)::bigint balls_faced from pop group by all),
+        b as (select match_id, bowler player, start_year, sum(bowler_ball)::bigint balls_bowled, sum(conceded)::bigint conceded, sum(is_credited)::bigint wickets from pop group by all)
+        select match_id, player, start_year, runs is not null batted, coalesce(runs, 0) runs, coalesce(balls_faced, 0) balls_faced, conceded is not null bowled, coalesce(balls_bowled, 0) balls_bowled, coalesce(conceded, 0) conceded,
+        coalesce(wickets, 0) wickets from a full join b using (match_id, player, start_year)"""),
+    "f26_venue_bowling": sql(f"select venue, bowler player, sum(bowler_ball)::bigint balls, sum(conceded)::bigint conceded, round(6 * sum(conceded) / sum(bowler_ball), 4) economy from fact where {POP_ALL} and venue is not null group by all having sum(bowler_ball) >= 10"),
+    "f12_expensive_overs": sql(""", o as (select bowler player, sum(conceded) r, sum(bowler_ball) b, sum(is_dot) d from scoped where scope = 'all' group by bowler, match_id, innings_number, over_number)
+        select player, count(*) n_overs, count(*) filter (r >= 12) n_expensive, round(count(*) filter (r >= 12) / count(*), 4) expensive_rate, case when sum(b) > 0 then round(100 * (sum(d) / sum(b)), 4) else 0 end dot_pct from o group by 1"""),
+    "k01_sorted": f"select row_number() over (order by runs desc, average desc nulls last, player, start_year) place, player, start_year, runs, average from ({SQL['f06_season_batting']}) where scope = 'all'",
+    "k04_leagues": sql(f"select competition, round(6 * (sum(total_runs) / sum(legal_delivery)), 4) run_rate from fact where {POP_ALL} group by 1"),
+    "n07_tolerance": sql(f", {INNINGS_SQL} select player, abs(median(runs) - quantile_cont(runs, 0.5)) < 1e-9 is_equal, round(greatest(0, least(avg(runs) / 50, 1)), 6) clipped_mean from inn where scope = 'all' group by 1"),
+}

@@ -105,7 +105,7 @@ def fair_value(spark: SparkSession, base: str, qualified: int = 24, wicket_value
     scaled by the qualified deviation and shrunk for few balls; both disciplines add up to z, and the index is
     100 / (1 + exp(-z / 2)).
     """
-    c = cells(spark, base).join(league_factors(spark, base).select("competition", "factor"), "competition", "left").withColumn("factor", F.coalesce("factor", F.lit(1.0)))
+    c = cells(spark, base).join(league_factors(spark, base).select("competition", F.col("batting_factor").alias("factor")), "competition", "left").withColumn("factor", F.coalesce("factor", F.lit(1.0)))
     phase = c.groupBy("discipline", "phase").agg((F.sum("runs") / F.sum("balls")).alias("rpb"), (F.sum("wickets") / F.sum("balls")).alias("wpb"))
     j = c.join(phase, ["discipline", "phase"])
     bat = F.col("runs") * F.col("factor") - F.col("balls") * F.col("rpb")
@@ -128,7 +128,7 @@ QUERIES = {"y03_ridge": ridge_report, "y05_ols": ols_report, "y06_cells": cells,
 FAIR_SQL = f"""{LEAGUE_SQL}, pa as (select * from fact where start_year between 2018 and 2026 and not coalesce(is_super_over, false)),
  ce as (select batter player, start_year, competition, phase, sum(batter_runs)::bigint runs, sum(legal_delivery)::bigint balls, 0::bigint wickets, 'bat' discipline from pa group by all union all
         select bowler, start_year, competition, phase, sum(batter_runs + coalesce(wides_runs, 0) + coalesce(noballs_runs, 0))::bigint, sum(bowler_ball)::bigint, sum(is_credited)::bigint, 'bowl' from pa group by all),
- cf as (select ce.*, coalesce(factor, 1) factor from ce left join lf using (competition)), ph as (select discipline, phase, sum(runs) / sum(balls) rpb, sum(wickets) / sum(balls) wpb from cf group by all),
+ cf as (select ce.*, coalesce(batting_factor, 1) factor from ce left join lf using (competition)), ph as (select discipline, phase, sum(runs) / sum(balls) rpb, sum(wickets) / sum(balls) wpb from cf group by all),
  im as (select player, start_year, discipline, sum(balls)::bigint balls, sum(case when discipline = 'bat' then runs * factor - balls * rpb else balls * rpb - runs * factor + 6.0::double * (wickets - balls * wpb) end) impact from cf join ph using (discipline, phase) group by all),
  sc as (select discipline, median(impact) centre, stddev_pop(impact) sd from im where balls >= 24 group by 1),
  zz as (select *, case when sd > 0 then (impact - centre) / sd else 0 end * least(1, balls / 24) z from im join sc using (discipline)),

@@ -61,7 +61,7 @@ def extras_check(spark: SparkSession, base: str) -> DataFrame:
 
 
 def common_opponents(spark: SparkSession, base: str) -> DataFrame:
-    """Batters of either innings of a match as sets: both (intersection), only the first, only the second."""
+    """Batters of the first innings and bowlers of the second as sets: in both (all-round), only batting, only bowling."""
     d = table(spark, base, "deliveries").where("innings_number <= 2").select("match_id", "innings_number", "batter", "bowler").distinct()
     bats = d.groupBy("match_id").agg(F.array_sort(F.collect_set(F.when(F.col("innings_number") == 1, F.col("batter")))).alias("a"), F.array_sort(F.collect_set(F.when(F.col("innings_number") == 2, F.col("bowler")))).alias("b"))
     return bats.select("match_id", F.size(F.array_intersect("a", "b")).alias("n_both"), F.size(F.array_except("a", "b")).alias("n_bat_only"), F.size(F.array_except("b", "a")).alias("n_bowl_only"))

@@ -10,8 +10,14 @@ from crease.functions.scalars import role_name, safe_div, season_years, strip_su
 from crease.operators.features import badge, dismissals
 from crease.operators.leagues import average_rank_pct
 from crease.operators.models import ridge
-from crease.sources.files import manifest, markdown, reconcile, write_table, yearly_auctions
-from crease.sources.match_json import delivery_rows, match_rows, read_matches, unsupported
+from crease.errors import ConfigurationError, QualityError, SourceError
+from crease.operators.dimensions import violations
+from crease.operators.validation import DELIVERY_TYPES, MATCH_TYPES
+from crease.sources.files import (
+    backfilled, config_rows, csv_texts, csv_typed, extract, fetch, file_name_of, first_source, load_config, manifest, markdown, pruned, reconcile, source_named, sql_on_files, united_competitions,
+    validate_catalog, write_parameters, write_table, write_validated, yearly_auctions,
+)
+from crease.sources.match_json import delivery_rows, match_rows, normalise, read_matches, unsupported
 from crease.streaming.live import deduplicated, live_innings, sessions, windowed
 
 
@@ -43,6 +49,96 @@ def test_match_files(spark, match_files):
     assert d[4].delivery_key == "test:123:2:0:1" and d[4].is_super_over
 
 
+@pytest.mark.parametrize(
+    ("result", "want"),
+    [({"winner": "X", "by": {"wickets": 3}}, ("X", "by", 3, "wickets")), ({"result": "tie", "winner": "X"}, (None, "tie", None, None)), ({"result": "no result"}, (None, "no result", None, None)),
+     ({"bowl_out": "X", "winner": "X"}, (None, "bowl_out", None, None)), ({"winner": "Y"}, ("Y", None, None, None)), (None, (None, None, None, None))],
+)
+def test_outcomes(spark, tmp_path, result, want):
+    info = {"teams": ["X", "Y"], "missing": ["umpires", {"player": "A"}], "event": {"name": "Cup", "match_number": 4}, "officials": {"umpires": ["U", "V"]}} | ({"outcome": result} if result else {})
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c/1.json").write_text(json.dumps({"info": info, "innings": []}))
+    m = match_rows(read_matches(spark, str(tmp_path))).first()
+    assert (m.outcome_winner, m.outcome_type, m.outcome_margin_value, m.outcome_margin_unit) == want
+    assert (m.missing_json, m.event_json, m.officials_json) == ('["umpires",{"player":"A"}]', '{"match_number":4,"name":"Cup"}', '{"umpires":["U","V"]}')
+    assert {c: t for c, t in match_rows(read_matches(spark, str(tmp_path))).dtypes} == MATCH_TYPES
+
+
+def test_normalise_writes_checked_tables_in_order(spark, match_files, tmp_path):
+    with pytest.raises(SourceError, match="unsupported"):
+        normalise(spark, match_files, str(tmp_path / "out"))
+    (tmp_path / "test/bad.json").unlink()
+    (tmp_path / "test/001.json").write_text((tmp_path / "test/123.json").read_text(encoding="utf-8-sig"))
+    m, d = normalise(spark, match_files, str(tmp_path / "out"))
+    assert [r.match_id for r in m.collect()] == ["test:001", "test:123"] and d.count() == 10
+    keys = [r.delivery_key for r in d.collect()]
+    assert keys == sorted(keys) and dict(d.dtypes) == DELIVERY_TYPES | {"season": "string"}
+    with pytest.raises(Exception, match="exists"):
+        normalise(spark, match_files, str(tmp_path / "out"))
+
+
+def test_configurations_and_catalogs(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"a": 1}]')
+    assert config_rows(spark, str(tmp_path / "a.json"), "a bigint").first().a == 1
+    (tmp_path / "b.json").write_text("{")
+    for bad in ("b.json", "none.json"):
+        with pytest.raises(ConfigurationError):
+            load_config(str(tmp_path / bad))
+    good = {"source_name": "Ball Data", "competition": "ipl, bbl", "format": "ZIP archive", "status": "active", "url": "http://x/get?id=1"}
+    catalog = {"sources": [good], "required_competitions": ["bbl"]}
+    validate_catalog(catalog)
+    for change in ({"sources": []}, {"sources": [good, good]}, {"sources": [good | {"status": "gone"}]}, {"sources": [good | {"url": ""}]}, {"sources": [{"source_name": "x"}]}, {"required_competitions": ["psl"]}):
+        with pytest.raises(ConfigurationError):
+            validate_catalog(catalog | change)
+    assert source_named(catalog, "Ball Data") is good
+    with pytest.raises(SourceError):
+        source_named(catalog, "other")
+    assert [file_name_of(x) for x in (good, good | {"filename": "../a.csv"}, good | {"url": "http://x/y/z.json?q=1"}, {"source_name": "A-b  c!", "format": "?"})] == ["ball_data.zip", "a.csv", "z.json", "a-b_c.dat"]
+
+
+def test_fetch_and_extract(tmp_path):
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "in.zip", "w") as z:
+        z.writestr("d/1.json", "{}")
+    source = {"source_name": "s", "url": (tmp_path / "in.zip").as_uri(), "filename": "kept.zip"}
+    path, digest = fetch(source, str(tmp_path / "raw"))
+    with pytest.raises(SourceError, match="exists"):
+        fetch(source, str(tmp_path / "raw"))
+    assert [p.name for p in extract(str(path), str(tmp_path / "x"), digest)] == ["1.json"]
+    with pytest.raises(SourceError, match="hash"):
+        extract(str(path), str(tmp_path / "y"), "0")
+    with zipfile.ZipFile(tmp_path / "bad.zip", "w") as z:
+        z.writestr("../out.txt", "x")
+    with pytest.raises(SourceError, match="unsafe"):
+        extract(str(tmp_path / "bad.zip"), str(tmp_path / "z"))
+    assert not (tmp_path / "out.txt").exists()
+
+
+def test_other_sources_and_sinks(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("a,b\n1,x\ny,\n")
+    assert [tuple(r) for r in csv_typed(spark, str(tmp_path / "t.csv"), "a bigint, b string").collect()] == [(1, "x"), (None, None)]
+    assert first_source(spark, str(tmp_path / "no.parquet"), str(tmp_path / "t.csv")).count() == 2
+    with pytest.raises(SourceError):
+        first_source(spark, str(tmp_path / "no.parquet"))
+    rows = spark.createDataFrame([(1, "k"), (2, "l")], "a bigint, b string")
+    for format in ("parquet", "csv", "json"):
+        write_table(rows, str(tmp_path / format), format=format)
+    assert sql_on_files(spark, "select max(a) m from {t}", t=str(tmp_path / "parquet")).first().m == 2
+    assert spark.read.json(str(tmp_path / "json")).count() == 2 and csv_texts(spark, str(tmp_path / "csv")).columns == ["a", "b"]
+    check = lambda df: violations(df, {"a positive": F.col("a") > 1})
+    with pytest.raises(QualityError, match="a positive: 1"):
+        write_validated(rows, str(tmp_path / "v"), check)
+    assert write_validated(rows.where("a > 1"), str(tmp_path / "v"), check).count() == 1
+    write_parameters({"b": 1, "a": [2]}, str(tmp_path / "m/p.json"))
+    assert load_config(str(tmp_path / "m/p.json")) == {"a": [2], "b": 1}
+    assert markdown(rows, 1).endswith("| 1 | k |\n\n1 more rows are not shown.")
+    now, then = spark.createDataFrame([("a", "1"), ("b", "2")], "path string, sha256 string"), spark.createDataFrame([("a", "0"), ("c", "3")], "path string, sha256 string")
+    assert {tuple(r) for r in backfilled(now, then).collect()} == {("a", "0"), ("c", "3"), ("b", "2")} and [tuple(r) for r in pruned(now, then).collect()] == [("a", "0")]
+    both = united_competitions({"ipl": rows, "bbl": rows.limit(1)}, {"ipl": "Main League"}, "a bigint", spark)
+    assert sorted(r.competition for r in both.collect()) == ["Main League", "Main League", "bbl"] and united_competitions({}, {}, "a bigint", spark).columns == ["a", "competition"]
+
+
 def test_yearly_layouts(spark, tmp_path):
     (tmp_path / "A_2013.csv").write_text(',Name,Price in $,Role,TeamName\n0,Chris,"625,000",AR,C\n')
     (tmp_path / "A_2025.csv").write_text(',Name ,Nationality,BasePrices in Rs,Winning Bid in Rs,TeamName\n0,Noor  ,Overseas,"2,00,00,000 ","10,00,00,000 ",C\n')

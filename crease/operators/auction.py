@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from crease.functions.prefix import medians
 from crease.functions.scalars import blank_to_null, money, name_key, role_name
 from crease.sources.tables import table
 
@@ -40,7 +41,18 @@ def resale(spark: SparkSession, base: str) -> DataFrame:
 
 
 def yearly_medians(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("year").agg(F.median("price").alias("year_median"))
+    return medians(rows, ["year"], "price", "year_median")
+
+
+def spend_by_origin(spark: SparkSession, base: str) -> DataFrame:
+    """Each year's rupee spend on overseas and Indian players, their number, and the ratio of the mean prices."""
+    origin = F.lower(F.trim(F.coalesce("nationality", F.lit(""))))
+    kind = F.when(origin.rlike("^ind"), "indian").when(origin != "", "overseas")
+    rows = rupees(spark, base).withColumn("kind", kind)
+    of = lambda k, c: F.coalesce(F.sum(F.when(F.col("kind") == k, c)), F.lit(0))
+    g = rows.groupBy("year").agg(of("overseas", F.col("price")).alias("o"), of("indian", F.col("price")).alias("i"), F.count_if(F.col("kind") == "overseas").alias("n_overseas"), F.count_if(F.col("kind") == "indian").alias("n_indian"))
+    mean = lambda a, n: F.when(F.col(n) > 0, F.col(a) / F.col(n))
+    return g.select("year", "n_overseas", "n_indian", F.round("o", 2).alias("overseas_spend"), F.round("i", 2).alias("indian_spend"), F.round(mean("o", "n_overseas") / mean("i", "n_indian"), 6).alias("mean_ratio"))
 
 
 def baselines(spark: SparkSession, base: str) -> DataFrame:
@@ -50,8 +62,8 @@ def baselines(spark: SparkSession, base: str) -> DataFrame:
     """
     rows = rupees(spark, base)
     train, valid = rows.where(F.col("year") <= TRAIN_TO), rows.where((F.col("year") > TRAIN_TO) & (F.col("year") <= VALID_TO))
-    glob = train.agg(F.avg("price").alias("global_mean"), F.median("price").alias("global_median"))
-    by_role = train.groupBy("role").agg(F.median("price").alias("role_median"))
+    glob = train.agg(F.avg("price").alias("global_mean")).join(medians(train, [], "price", "global_median"))
+    by_role = medians(train, ["role"], "price", "role_median")
     before = yearly_medians(rows).select((F.col("year") + 1).alias("year"), F.col("year_median").alias("prev_year_median"))
     j = valid.crossJoin(F.broadcast(glob)).join(by_role, "role", "left").join(before, "year", "left")
     j = j.withColumns({"role_median": F.coalesce("role_median", "global_median"), "prev_year_median": F.coalesce("prev_year_median", "global_median")})
@@ -75,7 +87,7 @@ def price_features_query(spark: SparkSession, base: str) -> DataFrame:
     return f.select("player", "year", *[F.round(c, 8).alias(c) for c in ("y", "prev_log_price", "gap", "has_prev", "market")])
 
 
-QUERIES = {"s08_sales": sales, "f33_role_prices": role_prices, "w06_resale": resale, "y01_baselines": baselines, "y02_price_features": price_features_query}
+QUERIES = {"s08_sales": sales, "f33_role_prices": role_prices, "w06_resale": resale, "f33_spend": spend_by_origin, "y01_baselines": baselines, "y02_price_features": price_features_query}
 
 M = "try_cast(nullif(regexp_replace({0}, '[^0-9.]', '', 'g'), '') as double)".format
 SALES_SQL = f"""lo as (select distinct * exclude (loaded_at) from auction_lots),
@@ -88,6 +100,9 @@ SALES_SQL = f"""lo as (select distinct * exclude (loaded_at) from auction_lots),
  ye as (select * from (select *, row_number() over (partition by player, year order by price desc, lot_id) k from ru where player <> '') where k = 1),
  ym as (select year, median(price) year_median from ru group by 1)"""
 SQL = {
+    "f33_spend": f"""with {SALES_SQL}, k as (select year, price, case when lower(trim(nationality)) like 'ind%' then 'indian' when trim(nationality) <> '' then 'overseas' end kind from ru),
+        g as (select year, coalesce(sum(price) filter (kind = 'overseas'), 0) o, coalesce(sum(price) filter (kind = 'indian'), 0) i, count(*) filter (kind = 'overseas') n_overseas, count(*) filter (kind = 'indian') n_indian from k group by 1)
+        select year, n_overseas, n_indian, round(o, 2) overseas_spend, round(i, 2) indian_spend, round((o / nullif(n_overseas, 0)) / (i / nullif(n_indian, 0)), 6) mean_ratio from g""",
     "s08_sales": f"with {SALES_SQL} select * from sa",
     "f33_role_prices": f"with {SALES_SQL} select year, role, count(*) n_sold, round(avg(price), 2) mean_price, round(median(price), 2) median_price, max(price) max_price from ru group by 1, 2",
     "w06_resale": f"with {SALES_SQL}, l as (select player, year, price, lag(price) over w prev_price, year - lag(year) over w gap from ye window w as (partition by player order by year)) select player, year, price, prev_price, gap, round(price / prev_price, 6) ratio from l where prev_price is not null",

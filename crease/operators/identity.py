@@ -249,9 +249,9 @@ def newcomers(spark: SparkSession, base: str) -> DataFrame:
 
 
 QUERIES = {
-    "e06_mapping": mapping, "s13_resolved": resolved_names, "p05_resolved_batting": resolved_batting, "p14_population": population_counts, "a09_collapsed": collapsed, "y11_names": display_names,
+    "e06_mapping": mapping, "s13_resolved": resolved_names, "pred05_resolved_batting": resolved_batting, "pred14_population": population_counts, "a09_collapsed": collapsed, "y11_names": display_names,
     "e11_evidence": evidence, "e11_reference_names": reference_names, "j16_identity_pairs": identity_pairs, "e12_candidates": candidate_people, "u08_reconciliation": reconciliation,
-    "e10_review": unresolved_review, "p06_key_players": key_players, "j21_newcomers": newcomers,
+    "e10_review": unresolved_review, "pred06_key_players": key_players, "j21_newcomers": newcomers,
 }
 
 NAME_KEY = "trim(regexp_replace(regexp_replace(lower(trim({0})), '[^\\p{{L}}\\p{{M}}\\p{{N}}_\\s]', '', 'g'), '\\s+', ' ', 'g'))".format
@@ -272,9 +272,9 @@ SQL = {
         case when coalesce(trim(batter), '') = '' then 'NA' else coalesce(e.canonical_name, z.cn, trim(batter)) end batter_canonical_name,
         case when coalesce(trim(batter), '') = '' then 'none' else coalesce(e.method, z.me || '_normalized', 'unresolved') end batter_mapping_method
         from n left join mp e on e.source_name = trim(batter) left join nm z on z.k = {NAME_KEY("batter")} and z.k <> ''""",
-    "p05_resolved_batting": f"""with {FACT_SQL}, {IDS_SQL} select batter_id player_id, start_year, count(distinct batter) n_spellings, sum(batter_runs)::bigint runs, sum(legal_delivery)::bigint balls
+    "pred05_resolved_batting": f"""with {FACT_SQL}, {IDS_SQL} select batter_id player_id, start_year, count(distinct batter) n_spellings, sum(batter_runs)::bigint runs, sum(legal_delivery)::bigint balls
         from rf where batter_id not in ('UNRESOLVED', 'NA') group by 1, 2""",
-    "p14_population": f"""with {FACT_SQL}, {IDS_SQL} select f.competition, count(*) n_rows, count(*) filter (start_year between 2018 and 2026 and not coalesce(is_super_over, false)) n_seasons,
+    "pred14_population": f"""with {FACT_SQL}, {IDS_SQL} select f.competition, count(*) n_rows, count(*) filter (start_year between 2018 and 2026 and not coalesce(is_super_over, false)) n_seasons,
         count(*) filter (start_year between 2018 and 2026 and not coalesce(is_super_over, false) and gender = 'male') n_gender,
         coalesce(max((select count(*) from rf where rf.competition = f.competition and batter_id not in ('UNRESOLVED', 'NA'))), 0)::bigint n_resolved from fact f group by 1""",
     "a09_collapsed": f"""with {MAP_SQL} select canonical_id player_id, min(canonical_name) player_name, count(distinct source_name) n_source_names, string_agg(distinct source_name, '|' order by source_name) source_names,
@@ -286,7 +286,7 @@ SQL = {
     "e11_reference_names": f"with pa as ({PART}) select player_name as name from people_register where player_name is not null union select full_name from people_register where full_name is not null union select player from pa where player is not null",
     "u08_reconciliation": f"""with au as ({AUDIT}) select bucket, count(*) n_names, (select count(*) from (select name from au group by 1 having count(distinct bucket) > 1)) n_overlaps,
         (select count(distinct name) from au) n_observed from au group by 1""",
-    "p06_key_players": f"with {OBS_SQL} select name, batter, bowler from ob where regexp_matches(name, '(?i)sharma|kohli|praiprod|dhoni')",
+    "pred06_key_players": f"with {OBS_SQL} select name, batter, bowler from ob where regexp_matches(name, '(?i)sharma|kohli|praiprod|dhoni')",
     "j21_newcomers": f"""with {FACT_SQL}, {IDS_SQL}, s as (select batter_id p from rf where competition = 'ipl' union select bowler_id from rf where competition = 'ipl')
         select distinct player_id, player_id in (select p from s where p is not null) in_main from people_register""",
 }

@@ -343,7 +343,7 @@ def fair_value_rank(spark: SparkSession, base: str, top: int = 10) -> DataFrame:
 
 QUERIES = {
     "y03_ridge": ridge_report, "y05_ols": ols_report, "y06_cells": cells, "y09_fair_value": fair_value, "k02_fair_value_rank": fair_value_rank,
-    "y02_performance": performance_features, "y04_alpha": alpha_report, "p21_levels": level_counts, "y05_year_line": year_line, "y07_impact": impact_report, "y08_scarcity": scarcity_report, "y10_sensitivity": sensitivity,
+    "y02_performance": performance_features, "y04_alpha": alpha_report, "pred21_levels": level_counts, "y05_year_line": year_line, "y07_impact": impact_report, "y08_scarcity": scarcity_report, "y10_sensitivity": sensitivity,
 }
 
 
@@ -393,6 +393,6 @@ SQL = {
         select config, count(*) n, round(corr(a, b), 5) spearman from r group by 1"""),
     "y02_performance": f"""with {FACT_SQL}, {IDS_SQL}, {PERF_SQL} select player_id, year, round(ln(1 + b), 6) log_bat_balls, round(case when b >= 6 then 100 * r / b end, 6) bat_strike_rate, round(ln(1 + b2), 6) log_bowl_balls,
         round(case when b2 >= 6 then 6 * r2 / b2 end, 6) bowl_economy, round(case when b2 >= 6 then 24 * w2 / b2 end, 6) bowl_wickets_24, round(ln(1 + h), 6) log_main_balls, b + b2 > 0 has_prior from g""",
-    "p21_levels": f"with {SALES_SQL} select role as level, count(*) n_rows from sa where role <> (select min(role) from sa) group by 1",
+    "pred21_levels": f"with {SALES_SQL} select role as level, count(*) n_rows from sa where role <> (select min(role) from sa) group by 1",
     "y05_year_line": f"with {SALES_SQL} select role, count(*) n, round(regr_slope(price, year - 2020), 2) slope, round(regr_intercept(price, year - 2020), 2) as intercept from ru group by 1",
 }

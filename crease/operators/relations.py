@@ -82,7 +82,7 @@ def rolled_up(spark: SparkSession, base: str) -> DataFrame:
 
 
 QUERIES = {
-    "u02_union_missing": union_missing, "j14_bridge": bridge, "p21_one_hot": one_hot, "w07_latest_badge": latest_badge, "a07_usual_team": usual_team, "c07_extras_check": extras_check,
+    "u02_union_missing": union_missing, "j14_bridge": bridge, "pred21_one_hot": one_hot, "w07_latest_badge": latest_badge, "a07_usual_team": usual_team, "c07_extras_check": extras_check,
     "u05_common_opponents": common_opponents, "w08_recent_matches": recent_matches, "x01_rolled_up": rolled_up,
 }
 
@@ -93,7 +93,7 @@ SQL = {
         select bowler, start_year, 'bowling', null::bigint, sum(conceded)::bigint from pop group by all"""),
     "j14_bridge": f"""with r as (select player_id, {NK('unnest([player_name, full_name])')} k from people_register), o as (select k, min(player_id) player_id from r group by 1 having count(distinct player_id) = 1),
         n as (select distinct review_id, trim(source_name, ' ') source_name from manual_review) select review_id, source_name, player_id from n join o on o.k = {NK('source_name')}""",
-    "p21_one_hot": sql("select match_id, count(*) n_rows, sum((phase = 'Middle')::int)::bigint is_middle, sum((phase = 'Powerplay')::int)::bigint is_powerplay from fact group by 1"),
+    "pred21_one_hot": sql("select match_id, count(*) n_rows, sum((phase = 'Middle')::int)::bigint is_middle, sum((phase = 'Powerplay')::int)::bigint is_powerplay from fact group by 1"),
     "w07_latest_badge": f"""with c as ({FEATURE_SQL['f16_consistency']}) select player, start_year, badge from (select *, row_number() over (partition by player order by (badge = 'Unqualified')::int, start_year desc) k from c where scope = 'all') where k = 1""",
     "a07_usual_team": """with o as (select distinct match_id, innings_number, batter, innings_team from deliveries), b as (select batter, innings_team, count(*) n from o group by 1, 2)
         select batter, min_by(innings_team, (-n, innings_team)) usual_team, count(*) n_teams, sum(n)::bigint n_innings from b group by 1""",

@@ -106,8 +106,8 @@ def venue_of_mapping(spark: SparkSession, base: str) -> DataFrame:
 
 
 def repeated_lots(spark: SparkSession, base: str) -> DataFrame:
-    """Every lot whose name, team and year occur in more than one lot (all of them, not only the later ones)."""
-    keys = ["name_raw", "team_name", "auction_year"]
+    """Every lot whose name and year occur in more than one lot (all of them, not only the later ones)."""
+    keys = ["name_raw", "auction_year"]
     lots = table(spark, base, "auction_lots").select("lot_id", *keys).distinct()
     many = lots.groupBy(*keys).agg(F.count("*").alias("n_lots")).where("n_lots > 1").select(F.struct(*keys).alias("k2"), "n_lots")
     rows = lots.withColumn("k", F.struct(*keys))
@@ -137,6 +137,6 @@ SQL = {
         select lower(part) part, count(*) n_lots from p where part <> '' group by 1""",
     "j04_required": "select n_nationkey, n_name, r_name from nation join region on r_regionkey = n_regionkey",
     "j01_guarded": "select venue_id, raw_venue, canonical_venue, city from (select distinct raw_venue, venue_id from venue_mapping) left join (select distinct * from dim_venues) using (venue_id)",
-    "pred18_repeated": """with l as (select distinct lot_id, name_raw, team_name, auction_year from auction_lots), n as (select *, count(*) over (partition by name_raw, team_name, auction_year) n_lots from l) select * from n where n_lots > 1""",
+    "pred18_repeated": """with l as (select distinct lot_id, name_raw, auction_year from auction_lots), n as (select *, count(*) over (partition by name_raw, auction_year) n_lots from l) select * from n where n_lots > 1""",
 }
 SQL["n03_crores"] = f"with {SALES_SQL} select lot_id, round(price / 1e7, 6) crore, round(greatest(0.1, least(price / 1e7, 30)), 6) clipped from sa where currency = 'INR' and price is not null"

@@ -18,7 +18,7 @@ from crease.sources.files import (
     validate_catalog, write_parameters, write_table, write_validated, yearly_auctions,
 )
 from crease.sources.match_json import delivery_rows, match_rows, normalise, read_matches, unsupported
-from crease.streaming.live import deduplicated, live_innings, sessions, windowed
+from crease.streaming.live import deduplicated, live_innings, sessions, windowed, written_once
 
 
 def ball(extras=None, wickets=None, actual="0.1"):
@@ -170,11 +170,45 @@ def test_streams(spark, tmp_path):
     q = deduplicated(stream).writeStream.format("memory").queryName("dedup").option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.table("dedup").count() == 3
-    spark.createDataFrame([("m", 1, 4, 0, 1), ("m", 1, 1, 1, 1)], "match_id string, innings_number bigint, total_runs bigint, is_wicket int, is_legal int").write.parquet(str(tmp_path / "d"))
-    d = spark.readStream.schema(spark.read.parquet(str(tmp_path / "d")).schema).parquet(str(tmp_path / "d"))
-    q = live_innings(d).writeStream.outputMode("update").format("memory").queryName("live").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
-    q.awaitTermination(60)
-    assert tuple(spark.sql("select runs, wickets, balls from live order by balls desc").first()) == (5, 1, 2)
+
+
+def run(writer):
+    q = writer.trigger(availableNow=True).start()
+    q.awaitTermination(90)
+    assert q.exception() is None
+
+
+def test_late_events_are_dropped_after_the_watermark(spark, tmp_path):
+    schema = "event_id bigint, ts string, user_id bigint, event_type string, value double"
+    batches = [[(1, "2024-01-01 00:05:00", 7, "a", 1.0)], [(2, "2024-01-01 05:00:00", 7, "a", 2.0)], [(4, "2024-01-01 09:00:00", 7, "a", 4.0)], [(3, "2024-01-01 00:06:00", 7, "a", 9.0)], [(5, "2024-01-01 15:00:00", 7, "a", 5.0)]]
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+    stream = spark.readStream.schema(spark.read.parquet(str(tmp_path / "in/0")).schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    run(windowed(stream).writeStream.outputMode("append").format("memory").queryName("late").option("checkpointLocation", str(tmp_path / "c")))
+    got = {str(r.start)[11:13]: r.total for r in spark.table("late").collect()}
+    assert got["00"] == 1.0 and got["05"] == 2.0  # event 3 came after its window was closed
+
+
+def test_a_batch_is_written_once(spark, tmp_path):
+    spark.range(10).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("id bigint").parquet(str(tmp_path / "in"))
+    for checkpoint in ("c1", "c2"):  # the second run repeats the batch, as after a lost checkpoint
+        run(written_once(stream, str(tmp_path / "out"), str(tmp_path / checkpoint)))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 10
+
+
+def test_innings_state_counts_a_delivery_once(spark, tmp_path):
+    old = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        schema = "delivery_key string, match_id string, innings_number bigint, total_runs bigint, is_wicket int, is_legal int"
+        for k, rows in enumerate([[("m:1:0:1", "m", 1, 4, 0, 1), ("m:1:0:2", "m", 1, 1, 1, 1)], [("m:1:0:2", "m", 1, 1, 1, 1), ("m:1:0:3", "m", 1, 2, 0, None)]]):
+            spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+        run(live_innings(stream).writeStream.outputMode("update").format("memory").queryName("live").option("checkpointLocation", str(tmp_path / "c")))
+        assert tuple(spark.sql("select runs, wickets, balls from live order by runs desc").first()) == (7, 1, 2)
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
 
 
 def test_scalars(spark):

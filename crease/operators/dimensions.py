@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from crease.functions.prefix import dense_ranks
 from crease.functions.scalars import compact_key, initials_key, literal_map, name_tokens, role_name, season_years, strip_suffix_key, surname_initial, venue_key
 from crease.operators.facts import matches
+from crease.operators.nested import P6_SQL, delivery_children
 from crease.sources.tables import table
 
 # Words of a competition's name, in the order in which categories are tried; any other name is domestic.
@@ -140,11 +141,15 @@ def similar(pairs: DataFrame, a: str, b: str, least: float) -> DataFrame:
 
 
 def observations(spark: SparkSession, base: str) -> DataFrame:
-    """Every name seen in the ball-by-ball columns and in the lots, with its number of rows by source."""
-    d = table(spark, base, "deliveries").select("delivery_key", "batter", "bowler", "non_striker").dropDuplicates(["delivery_key"])
-    balls = d.unpivot(["delivery_key"], ["batter", "bowler", "non_striker"], "source", "name").select("source", "name")
-    lots = table(spark, base, "auction_lots").select("lot_id", F.col("name_raw").alias("name")).dropDuplicates(["lot_id"]).select(F.lit("lots").alias("source"), "name")
-    return balls.unionByName(lots).where(F.trim("name") != "").groupBy(F.trim("name").alias("name")).pivot("source", ["batter", "bowler", "non_striker", "lots"]).count().na.fill(0)
+    """Every name seen in the ball-by-ball columns, among the fielders of wickets and in the lots, with its rows by source."""
+    balls = table(spark, base, "deliveries")
+    d = balls.select("delivery_key", "batter", "bowler", "non_striker").dropDuplicates(["delivery_key"])
+    rows = d.unpivot(["delivery_key"], ["batter", "bowler", "non_striker"], "source", "name").select("source", "name")
+    caught = delivery_children(balls).where("child_kind = 'fielder'").select("parent_key", "pos_1", "pos_2", F.col("label").alias("name")).distinct()
+    lots = table(spark, base, "auction_lots").select("lot_id", F.col("name_raw").alias("name")).dropDuplicates(["lot_id"])
+    every = rows.unionByName(caught.select(F.lit("fielder").alias("source"), "name")).unionByName(lots.select(F.lit("lots").alias("source"), "name"))
+    sources = ["batter", "bowler", "non_striker", "fielder", "lots"]
+    return every.where(F.trim("name") != "").groupBy(F.trim("name").alias("name")).pivot("source", sources).count().na.fill(0)
 
 
 def identity_audit(spark: SparkSession, base: str) -> DataFrame:
@@ -253,9 +258,9 @@ PARTICIPATION_SQL = """mm as (select distinct match_id, competition, season, mat
  li as (select match_id, competition, season, match_date, e.key team, e.value v from mm, json_each(mm.players_json) e),
  pa as (select match_id, competition, season, match_date, team, unnest(from_json(v, '["VARCHAR"]')) player from li union all
         select match_id, competition, season, match_date, unnest(from_json(teams_json, '["VARCHAR"]')) team, null player from mm where match_id not in (select match_id from li))"""
-OBS_SQL = """d as (select distinct delivery_key, batter, bowler, non_striker from deliveries), l as (select distinct lot_id, name_raw from auction_lots),
- u as (select 'batter' source, batter as name from d union all select 'bowler', bowler from d union all select 'non_striker', non_striker from d union all select 'lots', name_raw from l),
- ob as (select trim(name) as name, count(*) filter (source = 'batter') batter, count(*) filter (source = 'bowler') bowler, count(*) filter (source = 'non_striker') non_striker, count(*) filter (source = 'lots') lots from u where trim(name) <> '' group by 1)"""
+OBS_SQL = f"""d as (select distinct delivery_key, batter, bowler, non_striker from deliveries), fd as (select distinct parent_key, pos_1, pos_2, label from ({P6_SQL}) where child_kind = 'fielder'), l as (select distinct lot_id, name_raw from auction_lots),
+ u as (select 'batter' source, batter as name from d union all select 'bowler', bowler from d union all select 'non_striker', non_striker from d union all select 'fielder', label from fd union all select 'lots', name_raw from l),
+ ob as (select trim(name) as name, count(*) filter (source = 'batter') batter, count(*) filter (source = 'bowler') bowler, count(*) filter (source = 'non_striker') non_striker, count(*) filter (source = 'fielder') fielder, count(*) filter (source = 'lots') lots from u where trim(name) <> '' group by 1)"""
 QUOTED = lambda x: "'" + x.replace("'", "''") + "'"
 LINEAGE_SQL = ", ".join(f"({QUOTED(k)}, {QUOTED(v)})" for k, v in LINEAGE.items())
 CATEGORY_SQL = "case when competition is null then 'Other' " + " ".join(

@@ -177,10 +177,11 @@ def split_fields(rows: DataFrame, key: str, kinds: str, players: str, names: lis
 
 
 def p5_found(spark: SparkSession, base: str) -> DataFrame:
+    """Known names are those of the ball and of the match's squads (of copies that differ the greatest, so a run repeats)."""
     d = table(spark, base, "deliveries").select("delivery_key", "match_id", "batter", "non_striker", "dismissal_type", "dismissal_player_out")
     packed = d.where(F.col("dismissal_type").rlike(MAYBE_PACKED) | F.col("dismissal_player_out").rlike(MAYBE_PACKED)).distinct()
     squads = table(spark, base, "matches").select("match_id", F.flatten(F.map_values(F.from_json("players_json", "map<string,array<string>>"))).alias("squad"))
-    squads = squads.where("squad is not null").groupBy("match_id").agg(F.any_value("squad").alias("squad"))
+    squads = squads.where("squad is not null").groupBy("match_id").agg(F.max("squad").alias("squad"))
     rows = packed.join(squads, "match_id", "left")
     return split_fields(rows, "delivery_key", "dismissal_type", "dismissal_player_out", ["batter", "non_striker", "squad"]).distinct()
 

@@ -130,12 +130,16 @@ def needed_literals(pattern: str) -> set[str] | None:
                 inner = set().union(*parts) if all(parts) else None
             elif kind is op.MAX_REPEAT and value[0] >= 1:
                 inner = of(value[2])
+                if inner and len(value[2]) == 1 and value[2][0][0] is op.LITERAL:
+                    inner = {x * value[0] for x in inner}
             elif kind is op.IN and all(k is op.LITERAL for k, _ in value):
                 inner = {chr(v).lower() for _, v in value}
             if inner:
                 found.append(inner)
         found = found + [{run}] if run else found
-        return max(found, key=lambda x: (min(map(len, x)), -len(x)), default=None)
+        # Long literals are rare, and marks are rarer than letters.
+        rarity = lambda x: min(sum(1 if c.isalnum() or c == " " else 3 for c in y) for y in x)
+        return max(found, key=lambda x: (rarity(x), -len(x)), default=None)
 
     return of(parser.parse(pattern))
 

@@ -38,7 +38,9 @@ def fact(spark: SparkSession, base: str) -> DataFrame:
 
 
 def build_fact(spark: SparkSession, base: str) -> DataFrame:
-    d = table(spark, base, "deliveries").select(*DELIVERY_COLUMNS).dropDuplicates(["delivery_key"])
+    # One shuffle by match serves the removal of repeats (a delivery's key holds its match), the join and the layout.
+    d = table(spark, base, "deliveries").select(*DELIVERY_COLUMNS).where("match_id is not null")
+    d = d.repartition("match_id").dropDuplicates(["match_id", "delivery_key"])
     first = table(spark, base, "deliveries").agg((F.min("over_number") == 0).alias("zero_based"))
     m = matches(spark, base).select("match_id", "competition", "start_year", "gender", "venue", "city", "match_date")
     flag = lambda c: c.cast("int")

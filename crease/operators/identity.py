@@ -15,7 +15,8 @@ from crease.functions.scalars import compact_key, name_key, name_tokens
 from crease.operators.dimensions import OBS_SQL, SALTS, SPREAD, fuzzy_candidates, identity_audit, letters, observations, participation, reach, similar
 from crease.operators.dimensions import SQL as DIMENSION_SQL
 from crease.operators.facts import FACT_SQL, fact, long, population
-from crease.sources.tables import once, table
+from crease.sources.files import csv_texts, markdown, write_table
+from crease.sources.tables import durable, once, table
 
 # How sure a way of mapping is, best first.
 CONFIDENCE_RANK = {"exact": 0, "high": 1, "medium": 2, "low": 3, "unresolved": 4}
@@ -84,6 +85,33 @@ def resolve(df: DataFrame, column: str, mapped: DataFrame) -> DataFrame:
     return rows.withColumns(out).select(*df.columns, *out)
 
 
+#: Columns of a file of unknown layout that hold people's names.
+NAME_COLUMNS = ("Name", "player_name", "name", "unique_name", "batter", "bowler", "player")
+
+
+def map_files(spark: SparkSession, root: str, out: str, mapped: DataFrame) -> DataFrame:
+    """Writes every CSV file below ``root`` to the same place below ``out``, with the mapped person beside each column of
+    names; (path, column, n_names, n_mapped) of what was written. A file without such a column is left out."""
+    from pathlib import Path
+
+    report = None
+    mapped = durable(mapped)
+    for path in sorted(Path(root).rglob("*.csv")):
+        rows = csv_texts(spark, str(path))
+        columns = [c for c in NAME_COLUMNS if c in rows.columns]
+        for c in columns:
+            rows = resolve(rows, c, mapped)
+        if columns:
+            place = path.relative_to(root)
+            write_table(rows, f"{out}/{place}", format="csv")
+            for c in columns:
+                named = F.col(f"{c}_canonical_id") != "NA"
+                line = rows.agg(F.count_if(named).alias("n_names"), F.count_if(named & (F.col(f"{c}_canonical_id") != UNRESOLVED)).alias("n_mapped"))
+                line = line.select(F.lit(str(place)).alias("path"), F.lit(c).alias("column"), "n_names", "n_mapped")
+                report = line if report is None else report.unionByName(line)
+    return spark.createDataFrame([], "path string, column string, n_names bigint, n_mapped bigint") if report is None else report
+
+
 def resolved_names(spark: SparkSession, base: str) -> DataFrame:
     """Each batter as typed, with its balls and whom it is mapped to."""
     d = table(spark, base, "deliveries").select("delivery_key", "batter").dropDuplicates(["delivery_key"])
@@ -226,8 +254,6 @@ def unresolved_review(spark: SparkSession, base: str) -> DataFrame:
 
 def audit_report(spark: SparkSession, base: str) -> str:
     """The reconciliation as a Markdown report for people."""
-    from crease.sources.files import markdown
-
     counts = reconciliation(spark, base).orderBy("bucket")
     overlaps = counts.agg(F.coalesce(F.max("n_overlaps"), F.lit(0)).alias("n")).first()["n"]
     told = "Every name is in exactly one bucket." if overlaps == 0 else f"{overlaps} names are in more than one bucket."

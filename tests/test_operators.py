@@ -69,6 +69,18 @@ def test_mapping_lookups_keep_the_right_writer(spark):
     assert identity.resolve(df, "name", mapped.where("false")).count() == 5
 
 
+def test_files_are_mapped_in_place(spark, tmp_path):
+    (tmp_path / "in/a").mkdir(parents=True)
+    (tmp_path / "in/a/x.csv").write_text("Name,v\nK Rao,1\n,2\nL Rao,3\n")
+    (tmp_path / "in/y.csv").write_text("v\n1\n")
+    mapped = spark.createDataFrame([("K Rao", "1", "K Rao", "exact_match", "exact")], "source_name string, canonical_id string, canonical_name string, method string, confidence string")
+    report = identity.map_files(spark, str(tmp_path / "in"), str(tmp_path / "out"), mapped).collect()
+    assert [tuple(r) for r in report] == [("a/x.csv", "Name", 2, 1)]
+    got = {r.v: r.Name_canonical_id for r in spark.read.option("header", True).csv(str(tmp_path / "out/a/x.csv")).collect()}
+    assert got == {"1": "1", "2": "NA", "3": "UNRESOLVED"} and not (tmp_path / "out/y.csv").exists()
+    assert identity.map_files(spark, str(tmp_path / "none"), str(tmp_path / "out2"), mapped).count() == 0
+
+
 def test_name_pairs_by_brute_force(spark):
     names = ["Anil Bosehari Kumarappan", "Anil Bosehary Kumarappan", "AnilBosehariKumarappan", "Bnil Bosehari Kumarappan", "Xavi Lee", "Xavi-Lee", "Anil Boseharu Dumarappan", "A", ""]
     seasons = [("Bnil Bosehari Kumarappan", "T 1"), ("Anil Bosehari Kumarappan", "T 1"), ("Xavi Lee", "T 2"), ("Anil Boseharu Dumarappan", "T 3")]

@@ -103,6 +103,41 @@ def test_candidates_are_all_that_pair_cost_accepts(spark):
     assert {(0, 1), (2, 3), (4, 5), (8, 9), (10, 11), (12, 14)} <= got
 
 
+SIDE = "id bigint, season bigint, place string, nick string, name string, country string, role string, amount double"
+
+
+def test_keys_of_names_are_not_shuffled(spark):
+    """Names are laid out by season and place; the many keys that they yield are joined where they lie."""
+    from crease.sources.tables import in_place
+
+    left, right = (spark.createDataFrame([(k, 2020, "bikita", None, "karan sharma", None, None, None)], SIDE) for k in (1, 2))
+    with in_place(spark):
+        plan = matching.compared_pairs(left, right)._jdf.queryExecution().executedPlan().toString()
+    shuffles = [x.split("hashpartitioning(")[1] for x in plan.splitlines() if "Exchange hashpartitioning(" in x]
+    assert shuffles and all(x.startswith(("season", "id#")) for x in shuffles), shuffles
+
+
+def test_a_large_season_and_place_is_cut_in_parts(spark, monkeypatch):
+    names_ = ["leestilk neesteeng", "ll nisteeng", "rosy k", "k rosalind", "edstonjeeranol", "wedston jeerranol", "li na", "lin a"] + [f"karan shar{x}a" for x in "mnprst"]
+    left, right = (spark.createDataFrame([(k + i, 2020 + i % 2, "bikita", None, n, None, None, None) for i, n in enumerate(names_ * 2)], SIDE) for k in (100, 200))
+    whole = {tuple(r) for r in matching.candidate_pairs(left, right).collect()}
+    monkeypatch.setattr(matching, "CHUNK", 3)
+    rows = [tuple(r) for r in matching.candidate_pairs(left, right).collect()]
+    assert len(rows) == len(set(rows)) > 20 and set(rows) == whole
+
+
+def test_a_durable_result_leaves_no_shuffle_files(spark):
+    from crease.sources.tables import discard, durable
+
+    kept = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().mkString(" ").split()
+    before = {x for x in kept() if x.startswith("shuffle")}
+    made = durable(spark.range(5000, numPartitions=3).groupBy((F.col("id") % 700).alias("k")).count())
+    assert {x for x in kept() if x.startswith("shuffle")} <= before
+    discard(made)
+    with pytest.raises(Exception, match="(?i)not.exist"):
+        made.collect()
+
+
 def test_weights_are_fitted_and_few_pairs_move_them_little():
     rng = random.Random(2)
     counts = {}

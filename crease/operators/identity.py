@@ -157,9 +157,11 @@ def collapsed(spark: SparkSession, base: str) -> DataFrame:
 def display_names(spark: SparkSession, base: str) -> DataFrame:
     """player_id and the name to show: the registered one, else a batter's, else a bowler's spelling (ties by name)."""
     people = table(spark, base, "people_register").select("player_id", "player_name", F.lit(0).alias("place")).distinct()
-    rows = resolved_fact(spark, base)
-    of = lambda c, k: rows.select(F.col(f"{c}_id").alias("player_id"), F.col(c).alias("player_name"), F.lit(k).alias("place")).distinct()
-    every = people.unionByName(of("batter", 1)).unionByName(of("bowler", 2)).where(~F.col("player_id").isin(UNRESOLVED, "NA"))
+    # Spellings are resolved once each; no row of the fact is joined.
+    seen = lambda c, k: F.struct(F.col(c).alias("player_name"), F.lit(k).alias("place"))
+    spelt = population(fact(spark, base)).select(F.inline(F.array(seen("batter", 1), seen("bowler", 2)))).distinct()
+    spelt = resolve(spelt, "player_name", kept_mapping(spark, base)).select(F.col("player_name_canonical_id").alias("player_id"), "player_name", "place")
+    every = people.unionByName(spelt).where(~F.col("player_id").isin(UNRESOLVED, "NA"))
     return every.groupBy("player_id").agg(F.min_by("player_name", F.struct("place", "player_name")).alias("player_name"))
 
 

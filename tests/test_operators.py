@@ -205,3 +205,8 @@ def test_one_hot_and_least_squares(spark):
     assert {(r.c, round(r.p, 6)) for r in df.select("c", p.alias("p")).collect()} == {("x", 1.0), ("y", 3.0), ("z", 0.0), (None, 1.0)}
     with pytest.raises(ContractError, match="more than 2 levels"):
         one_hot(df, "c", most=2)
+
+
+def test_names_to_show_read_the_fact_once_and_join_none_of_its_rows(spark):
+    plan = identity.display_names(spark, str(DATA))._jdf.queryExecution().optimizedPlan().toString()
+    assert len([x for x in plan.splitlines() if "Relation [" in x and "delivery_key#" in x]) == 1

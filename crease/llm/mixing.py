@@ -7,51 +7,64 @@ the tokens from p to q of a source of weight w is released when the mix is p / w
 and among those released the one due first is placed. With blocks of one size these are the windows floor((k-1)/w) and
 ceil(k/w). Whoever reads the mix up to the end of any block finds each source within one block of its share, a block
 being ``block_tokens``: what it is cut at, and the longest document. The schedule depends on the lengths of a bounded
-number of blocks alone, so it is made once; documents only join it.
+number of blocks alone, so one task makes it as they come by release, holding those that are not yet placed; documents
+only join it.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from crease.functions.prefix import prefix_sums
 from crease.llm.packing import measured
 from crease.llm.tokens import hash31
-from crease.sources.tables import bounded_rows, durable, table
+from crease.sources.tables import durable, table
 
-#: Blocks in the whole mix at most; the block grows with the corpus. Sources whose blocks are scheduled on the driver;
-#: more are put in order of their deadlines by a sort.
-BLOCKS, MIN_BLOCK, SOURCES = 100_000, 4_096, 10_000
+#: Blocks in the whole mix at most, but for one more of each source; the block grows with the corpus.
+BLOCKS, MIN_BLOCK = 100_000, 4_096
+#: Rows of the schedule that are handed on at once.
+ROWS = 10_000
 
 
-def pfair(blocks: dict[str, list[float]], weights: dict[str, float]) -> list[tuple[str, int]]:
-    """(source, block number from 1) in the order of an earliest-deadline-first schedule of blocks of given lengths.
+def in_order(blocks: Iterable[tuple]) -> Iterator[tuple]:
+    """The blocks (release, deadline, source, block number, length, ...), given by release, as an earliest-deadline-first schedule.
 
     A block may be placed when the mix has reached its release; among those released the earliest deadline goes first,
     then the name. Where no block is released, the mix waits for the next release (the shares did not add up to it).
+    Only blocks that are released and not yet placed are held. Those of a source keep their order, as each is due
+    after the one before it.
     """
-    waiting = [(0.0, s, 1, 0.0) for s in sorted(blocks) if blocks[s] and weights[s] > 0]
-    heapq.heapify(waiting)
-    ready: list[tuple[float, str, int, float]] = []
-    out: list[tuple[str, int]] = []
+    blocks = iter(blocks)
+    coming = next(blocks, None)
+    ready: list[tuple] = []
     now = 0.0
-    while waiting or ready:
-        while waiting and waiting[0][0] <= now + 1e-6:
-            _, s, k, start = heapq.heappop(waiting)
-            heapq.heappush(ready, ((start + blocks[s][k - 1]) / weights[s], s, k, start))
+    while coming is not None or ready:
+        while coming is not None and coming[0] <= now + 1e-6:
+            heapq.heappush(ready, coming[1:] + coming[:1])
+            coming = next(blocks, None)
         if not ready:
-            now = waiting[0][0]
+            now = coming[0]
             continue
-        _, s, k, start = heapq.heappop(ready)
-        out.append((s, k))
-        now += blocks[s][k - 1]
-        end = start + blocks[s][k - 1]
-        if k < len(blocks[s]):
-            heapq.heappush(waiting, (end / weights[s], s, k + 1, end))
-    return out
+        first = heapq.heappop(ready)
+        yield first[-1:] + first[:-1]
+        now += first[3]
+
+
+def pfair(blocks: dict[str, list[float]], weights: dict[str, float]) -> list[tuple[str, int]]:
+    """(source, block number from 1) in the order of the schedule of blocks of given lengths."""
+    rows = []
+    for s, lengths in blocks.items():
+        start = 0.0
+        for k, n in enumerate(lengths if weights[s] > 0 else [], 1):
+            rows.append((start / weights[s], (start + n) / weights[s], s, k, n))
+            start += n
+    return [(x[2], x[3]) for x in in_order(sorted(rows))]
 
 
 def placed_documents(items: DataFrame, supply: DataFrame, targets: DataFrame, blocks: int) -> DataFrame:
@@ -72,36 +85,36 @@ def placed_documents(items: DataFrame, supply: DataFrame, targets: DataFrame, bl
     return placed.select("source", "w", (F.floor(F.col("at") / F.col("cut")) + 1).cast("bigint").alias("cut_no"), "block_tokens", "doc_id", F.col("round").alias("repeat"), "n_tokens")
 
 
-def mix(items: DataFrame, targets: DataFrame, blocks: int = BLOCKS, sources: int = SOURCES) -> DataFrame:
+def mix(items: DataFrame, targets: DataFrame, blocks: int = BLOCKS, sources: int | None = None) -> DataFrame:
     """(slot, source, block, doc_id, repeat, n_tokens, block_tokens): the mix in order of slot, then within its block.
 
     items: distinct (doc_id, source, n_tokens); targets: (source, target_share, max_repeats). Sources without a
     target, with a share of 0 or without any token take no part (their share is missing for the others to fill in
-    proportion); documents of 0 tokens are left out. A document is used at most max_repeats times. Beyond ``sources``
-    sources, slot is the deadline of the block, which orders the mix without the releases.
+    proportion); documents of 0 tokens are left out. A document is used at most max_repeats times. Any number of
+    sources is scheduled alike; ``sources``, once the number from which it was not, has no effect.
     """
-    spark = items.sparkSession
     items = durable(items.where("n_tokens > 0 and source is not null and doc_id is not null"))
     supply = items.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.max("n_tokens").alias("longest"))
     placed = durable(placed_documents(items, supply, targets, blocks))
     # Cuts in which no document starts make no block: blocks are numbered without gaps, with their real lengths.
     cuts = placed.groupBy("source", "cut_no").agg(F.sum("n_tokens").alias("n"), F.first("w").alias("w"))
-    rows = bounded_rows(cuts, 2 * blocks + 2 * sources)
-    if rows is None:
-        total = prefix_sums(cuts, ["source"], F.col("cut_no"), "n", "start")
-        order = total.select("source", "cut_no", F.col("cut_no").alias("block"), F.ceil((F.col("start") + F.col("n")) / F.col("w")).alias("slot"))
-    else:
-        lengths: dict[str, list[float]] = {}
-        numbers: dict[str, list[int]] = {}
-        weights: dict[str, float] = {}
-        for r in sorted(rows, key=lambda r: (r["source"], r["cut_no"])):
-            lengths.setdefault(r["source"], []).append(float(r["n"]))
-            numbers.setdefault(r["source"], []).append(r["cut_no"])
-            weights[r["source"]] = r["w"]
-        slots = [(s, numbers[s][k - 1], k, i) for i, (s, k) in enumerate(pfair(lengths, weights))]
-        order = spark.createDataFrame(slots, "source string, cut_no bigint, block bigint, slot bigint")
+    own = Window.partitionBy("source").orderBy("cut_no")  # at most one row for each block of the mix
+    start = F.coalesce(F.sum("n").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    timed = cuts.withColumns({"block": F.row_number().over(own).cast("bigint"), "start": start})
+    timed = durable(timed.select((F.col("start") / F.col("w")).alias("release"), ((F.col("start") + F.col("n")) / F.col("w")).alias("due"), "source", "block", F.col("n").cast("double").alias("n"), "cut_no"))
+
+    def schedule(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = in_order(r for b in batches for r in b.itertuples(index=False, name=None))
+        slot = 0
+        while some := list(islice(rows, ROWS)):
+            yield pd.DataFrame({"source": [r[2] for r in some], "cut_no": [r[5] for r in some], "block": [r[3] for r in some], "slot": range(slot, slot + len(some))})
+            slot += len(some)
+
+    # One task, as each slot depends on those before it: at most ``blocks`` and two more of each source pass through it.
+    by_release = timed.coalesce(1).sortWithinPartitions("release", "due", "source", "block")
+    order = by_release.mapInPandas(schedule, "source string, cut_no bigint, block bigint, slot bigint")
     out = placed.join(order, ["source", "cut_no"])
-    return out.select(F.col("slot").cast("bigint").alias("slot"), "source", "block", "doc_id", "repeat", "n_tokens", "block_tokens")
+    return out.select("slot", "source", "block", "doc_id", "repeat", "n_tokens", "block_tokens")
 
 
 def reached(mixed: DataFrame, targets: DataFrame) -> DataFrame:

@@ -234,6 +234,15 @@ def test_mix_deviates_less_than_a_block_in_tokens(spark):
     assert late.count() > 0 and late.groupBy("source", "doc_id").count().where("count > 2").count() == 0
 
 
+def test_any_number_of_sources_is_scheduled_alike(spark):
+    rng = random.Random(5)
+    items = spark.createDataFrame([(i, "abc"[i % 3], rng.randint(1, 4000)) for i in range(600)], "doc_id bigint, source string, n_tokens bigint")
+    targets = spark.createDataFrame([("a", 0.5, 2), ("b", 0.3, 2), ("c", 0.2, 2)], "source string, target_share double, max_repeats bigint")
+    rows = {tuple(r) for r in mixing.mix(items, targets, blocks=20).collect()}
+    assert rows == {tuple(r) for r in mixing.mix(items, targets, blocks=20, sources=1).collect()} == {tuple(r) for r in mixing.mix(items, targets, 20, 0).collect()}
+    assert {r[0] for r in rows} == set(range(len({r[:2] for r in rows})))
+
+
 @pytest.mark.parametrize("capacity", [128, 512, 2048])
 def test_packs_are_as_few_as_best_fit_needs(capacity):
     rng = random.Random(capacity)

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from crease.operators.units import Settings, convert, noted_scale, parse_amount, predicted, shifted_priors
+from crease.operators.units import Settings, convert, noted_scale, parse_amount, predicted, shifted_by_table, shifted_priors
 
 AMOUNTS = [
     ("2,50,00,000", 25_000_000, None, None), ("Rs 30,00,000/-", 3_000_000, None, "INR"), ("₹0.85 Cr", 0.85, 1e7, "INR"), ("2.05cr", 2.05, 1e7, None), ("90 lks", 90, 1e5, None),
@@ -90,3 +90,21 @@ def test_shares_of_unstated_cells_are_found_again():
     p[flip] = p[flip][:, ::-1]
     ratio = shifted_priors([(0, x) for x in p], np.array([[0.5, 0.5]]))
     assert abs(0.5 * ratio[0, 0] - 0.9) < 0.08
+
+
+def test_all_cells_count_none_is_drawn(spark):
+    """More stated cells than once were drawn: the held-out quarter is complete."""
+    cells = [("f.price", i, 2020, str(10 + i % 20), "in lakh" if i % 3 else "in crore", None, "o") for i in range(22_000)]
+    fx = spark.createDataFrame([], "season bigint, currency string, inr_per_unit double")
+    rows = spark.createDataFrame(cells, SCHEMA)
+    _, tested = predicted(rows, fx, Settings(trees=2, depth=3))
+    assert tested.count() == rows.where(F.pmod(F.xxhash64("record_id", F.lit(Settings().seed + 1)), F.lit(4)) == 0).count()
+
+
+def test_shares_are_the_same_by_rows_and_by_table(spark):
+    rng = np.random.default_rng(2)
+    seen = [(int(f), [float(x) for x in p], int(n)) for f, p, n in zip(rng.integers(0, 3, 60), rng.random((60, 2)), rng.integers(1, 9, 60))] + [(1, [0.0, 0.0], 4)]
+    shares = np.array([[0.5, 0.5], [0.2, 0.8], [0.9, 0.1], [0.6, 0.4]])
+    want = shifted_priors([(f, p) for f, p, n in seen for _ in range(n)], shares, rounds=4)
+    assert np.allclose(shifted_priors(seen, shares, rounds=4), want) and np.allclose(want[3], 1)
+    assert np.allclose(shifted_by_table(spark.createDataFrame(seen, "f int, p array<double>, n bigint"), shares, rounds=4), want)
